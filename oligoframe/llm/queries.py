@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op7_benchmark_decontamination
+from .fingerprint import op5_document_fingerprints
+from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op7_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_document_fingerprints, op7_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

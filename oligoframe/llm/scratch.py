@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +43,22 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed; once for each context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_oligoframe_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="oligoframe-")) / "oligoframe.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        sc._oligoframe_sent = True
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Whole texts go to Python in Arrow batches of few rows, so that a worker's memory is bounded by them."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))
