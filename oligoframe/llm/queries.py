@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import op7_benchmark_decontamination
 from .fingerprint import op5_document_fingerprints
+from .lines import op4_line_dedup
+from .mixing import OP6_SQL, op6_mixing
+from .substrings import op9_suffix_dedup
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_document_fingerprints, op7_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_line_dedup, op5_document_fingerprints, op6_mixing, op7_benchmark_decontamination, op9_suffix_dedup)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}

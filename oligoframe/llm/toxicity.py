@@ -56,9 +56,29 @@ class Tokens:
             before[1:][inner] = own[0][:-1][inner]
             after[:-1][inner] = own[0][1:][inner]
         self.slots = [(mix(x + np.uint64(i * 7919 + 1)) >> np.uint64(44)).astype(np.int32) for i, x in enumerate([*own, before, after])]
+        self.rows = w.rows
 
     def __len__(self) -> int:
-        return len(self.words)
+        return len(self.slots[0])
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Tokens:
+        """Tokens of many texts without the texts themselves, made group by group."""
+        data, off = view(pa.array(texts, pa.large_string()))
+        parts = [cls(data[off[a] : off[z]], off[a : z + 1] - off[a]) for a, z in groups(off, 1 << 19)]
+        for x in parts:
+            x.words = None
+        out = cls.__new__(cls)
+        base = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        out.words = None
+        out.slots = [np.concatenate([x.slots[i] for x in parts]) for i in range(N_WORD + N_CONTEXT)]
+        out.first = np.concatenate([x.first + b for x, b in zip(parts, base, strict=False)])
+        out.size = np.concatenate([x.size for x in parts])
+        out.rows = np.concatenate([[0], *(x.rows[1:] + b for x, b in zip(parts, base, strict=False))])
+        return out
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray, pairs: bool = False):
@@ -118,7 +138,7 @@ def tag(tokens: Tokens, toxic: np.ndarray, ratio: float = 3.0, least: int | None
     A word counts once for each pair of words that it stands between, so that copies of a document don't add up. least: how
     often it must count; by default a fiftieth of the toxic documents, within 4 and 12.
     """
-    row = tokens.words.row_of()
+    row = tokens.row_of()
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     least = least or max(4, min(12, n1 // 50))
     out = np.zeros(len(tokens), bool)
@@ -149,8 +169,7 @@ class Model:
         y = np.array(toxic, bool)
         if not y.any() or y.all():
             return self
-        data, off = view(pa.array(texts))
-        tokens = Tokens(data, off)
+        tokens = Tokens.of(texts)
         tags = tag(tokens, y)
         moved = np.full(4, 1e-6)
         slots = np.unique(np.concatenate([s for s in tokens.slots]))
@@ -191,7 +210,7 @@ class Model:
         """Per document: 1, the largest marginal, the log of 1 + their sum."""
         if p is None:
             p = marginals(emissions(tokens, self.weights), tokens.first, tokens.size, self.moves)[0]
-        rows = tokens.words.rows
+        rows = tokens.rows
         some = np.flatnonzero(np.diff(rows) > 0)
         out = np.zeros((len(rows) - 1, 3))
         out[:, 0] = 1
@@ -220,7 +239,7 @@ class Model:
         return score, spans
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 1500, fit_bytes: int = 1 << 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 1200, fit_bytes: int = 1 << 15) -> Model:
     """A model from at most fit_docs labelled documents of each class of at most fit_bytes bytes, taken in order of a hash of their ids.
 
     labels: doc_id, toxic; rows with a null in either are left out, and of several the largest label counts.
