@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, mix
+from .kernel import Ranges, mix
 from .scratch import small_batches, table
 
 SMALLEST, NORMAL, LARGEST = 32, 128, 512
@@ -68,7 +68,7 @@ def chunk(texts: list[bytes]) -> list[np.ndarray]:
         rows.append(len(cuts))
     ends = np.array(cuts, np.int64)
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    digest = Words(data, off, np.ones(256, bool), lower=False).range_hash(starts, ends) if len(ends) else np.zeros(0, np.uint64)
+    digest = Ranges(data).range_hash(starts, ends) if len(ends) else np.zeros(0, np.uint64)
     length = ends - starts
     # Distinct digests of all texts at once: sort by text, then digest.
     row = np.repeat(np.arange(len(texts)), np.diff(rows))

@@ -70,11 +70,27 @@ def groups(off: np.ndarray, most: int = 1 << 21):
         at = end
 
 
-class Words:
+class Ranges:
+    """Hashes of any byte ranges of a buffer."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self._sums = data, None
+
+    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each range."""
+        if self._sums is None:
+            up, _ = _pow(len(self.data) + 1)
+            self._sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sums[1:])
+        down = _pow(len(self.data) + 1)[1]
+        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+class Words(Ranges):
     """Words of each row: byte ranges ``start``/``end``, the hash of each, and ``rows`` (offsets by row)."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray, lower: bool = True):
-        self.data = LOWER[data] if lower else data
+        super().__init__(LOWER[data] if lower else data)
         self.off = off
         n = len(data)
         is_word = table[data]
@@ -87,20 +103,10 @@ class Words:
         after[:-1] = is_word[1:]
         self.end = np.flatnonzero(is_word & (~after | first[1 : n + 1])) + 1
         self.rows = np.searchsorted(self.start, off)
-        self._sums = None
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each range."""
-        if self._sums is None:
-            up, _ = _pow(len(self.data) + 1)
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sums[1:])
-        down = _pow(len(self.data) + 1)[1]
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
-
     def hashes(self) -> np.ndarray:
         return self.range_hash(self.start, self.end)
 

@@ -1,46 +1,16 @@
-"""Written tables in the folder that the driver and all executors share, which cut lineage and survive lost executors."""
+"""Session helpers of the operators: written tables, the package on the executors, batch sizes, tables."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import cut, release, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset on a local master, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="oligoframe-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete what cut() wrote for these, once nothing reads them again."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+__all__ = ["cut", "release", "shared_dir", "ship", "small_batches", "table"]
 
 
 def ship(spark: SparkSession) -> None:

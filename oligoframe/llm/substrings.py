@@ -26,63 +26,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import Collection
-from .kernel import Words, groups, mix, view
+from .kernel import Ranges, groups, mix, view
 from .rows import column, extend
 from .scratch import cut, release, small_batches, table
 
-LENGTH, GRAM, ANCHORS, HOT, BATCH = 400, 16, 4, 20_000, 1 << 20
+LENGTH, GRAM, ANCHORS, HOT, BATCH = 400, 16, 8, 20_000, 1 << 21
 #: Bits of the filter that tells which minimisers have several different pieces; it lets through some others, which does no harm.
 FILTER_BITS = 26
-EVERY = np.ones(256, bool)
 COLUMNS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
 
-def minimisers(grams: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest of ``width`` consecutive gram hashes from each start, leftmost of equals.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
-    40 bits of the hash are compared, then the place modulo 2**24.
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes from each place, by doubling."""
+    h, step = _BYTES[data], 1
+    while step < GRAM:
+        h = h[:-step] * np.uint64(2 * step * 0x9E3779B97F4A7C15 + 1 & 0xFFFFFFFFFFFFFFFF) + h[step:]
+        step *= 2
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
+def minima(grams: np.ndarray, width: int) -> np.ndarray:
+    """Of ``width`` consecutive gram hashes from each place, the smallest, leftmost of equals.
+
+    40 bits of the hash are compared, then the place modulo 2**24, which the low bits of the result tell.
     """
-    low_bits = np.uint64((1 << 24) - 1)
-    key = grams & ~low_bits | np.arange(len(grams), dtype=np.uint64) & low_bits
+    key = grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64) & _PLACE
     n = -(-len(key) // width) * width
     full = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     full[: len(key)] = key
     blocks = full.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, 1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(behind[starts], ahead[starts + width - 1])
-    return starts + (((least & low_bits).astype(np.int64) - starts) & ((1 << 24) - 1))
+    return np.minimum(behind[: len(key) - width + 1], ahead[width - 1 : len(key)])
+
+
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 class Pieces:
-    """The pieces of all rows: row, start in the row, size, minimiser place in the row and its hash, and digests."""
+    """The pieces of all rows: row, start in the row, size, place of the minimiser in the piece, its hash, and digests."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, length: int):
-        sizes = np.diff(off)
-        rows = np.flatnonzero(sizes >= length)
-        many = sizes[rows] - length + 1
-        of = np.repeat(rows, many)
-        ends = np.cumsum(many)
-        starts = np.arange(ends[-1] if len(ends) else 0) + np.repeat(off[rows] - ends + many, many)
-        self.words = Words(data, off, EVERY, lower=False)
-        if not len(starts):
-            self.row = self.start = self.size = self.least = np.zeros(0, np.int64)
+        rows = np.flatnonzero(np.diff(off) >= length)
+        if not len(rows):
+            self.row = self.start = self.size = self.least = self.begin = self.end = np.zeros(0, np.int64)
             self.key = self.one = self.two = np.zeros(0, np.uint64)
             return
-        at = np.arange(len(data) - GRAM + 1)
-        least = minimisers(self.words.range_hash(at, at + GRAM), starts, length - GRAM + 1)
-        new = np.ones(len(starts), bool)
-        new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:], [len(starts)])) - 1
-        begin, end = starts[first], starts[last] + length
-        self.row, self.start, self.size = of[first], begin - off[of[first]], end - begin
-        self.begin, self.end, self.least = begin, end, least[first] - begin
-        self.key = self.words.range_hash(least[first], least[first] + GRAM)
-        self.one = self.words.range_hash(begin, end)
+        low = minima(gram_hashes(data), length - GRAM + 1)
+        new = np.ones(len(low) + 1, bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:-1])
+        inside = np.zeros(len(low) + 1, bool)  # whether a window that starts here lies in its row
+        for a, z in zip(off[rows].tolist(), (off[rows + 1] - length + 1).tolist(), strict=True):
+            inside[a:z] = True
+            new[a] = new[z] = True
+        begin = np.flatnonzero(new & inside)
+        new[:-1][~inside[:-1]] = True
+        bounds = np.flatnonzero(new)
+        end = bounds[np.searchsorted(bounds, begin) + 1] - 1 + length
+        at = begin + (((low[begin] & _PLACE).astype(np.int64) - begin) & int(_PLACE))
+        words = Ranges(data)
+        self.row = np.searchsorted(off, begin, "right") - 1
+        self.start, self.size, self.least, self.begin, self.end = begin - off[self.row], end - begin, at - begin, begin, end
+        self.key = words.range_hash(at, at + GRAM)
+        self.one = words.range_hash(begin, end)
         # A second digest of the same bytes under another mixing, with the minimiser's place in the piece.
         half = (begin + end) // 2
-        self.two = mix(self.words.range_hash(begin, half) * np.uint64(0xD6E8FEB86659FD93) + self.words.range_hash(half, end) + self.least.astype(np.uint64))
+        self.two = mix(words.range_hash(begin, half) * np.uint64(0xD6E8FEB86659FD93) + words.range_hash(half, end) + self.least.astype(np.uint64))
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -215,7 +229,7 @@ def count_windows(pieces: DataFrame, length: int) -> DataFrame:
             data, off = view(b.column(4))
             for a, z in groups(off, 1 << 18):
                 part, o = data[off[a] : off[z]], off[a : z + 1] - off[a]
-                w = Words(part, o, EVERY, lower=False)
+                w = Ranges(part)
                 many = np.diff(o) - length + 1
                 of = np.repeat(np.arange(z - a), many)
                 at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
