@@ -269,7 +269,7 @@ def hamming_ball_2(spark, d):
 
 
 def _sum_sql(radius: str) -> str:
-    comb = "(factorial(n)::hugeint // (factorial(i)::hugeint * factorial((n - i)::int)::hugeint))"
+    comb = "(factorial(n)::hugeint // (factorial(i::int)::hugeint * factorial((n - i)::int)::hugeint))"
     return f"list_sum(list_transform(range(0, ({radius}) + 1), lambda i: {comb} * (3::hugeint ** i)::hugeint))::hugeint"
 
 
