@@ -156,6 +156,12 @@ def marked(map_: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (map_[v // 8] >> (v % 8).astype(np.uint8) & 1).astype(bool)
 
 
+def lists(col: pa.ListArray) -> list[np.ndarray]:
+    """Rows of a column of lists as unsigned arrays, without a Python object for each value."""
+    off = col.offsets.to_numpy()
+    return np.split(col.values.to_numpy().view(np.uint64)[off[0] : off[-1]], off[1:-1] - off[0]) if len(col) else []
+
+
 def prefix(s: np.ndarray, n: int, hot: np.ndarray) -> np.ndarray | None:
     """The first shingles of a set in the global order; s: its smallest hashes. None if s doesn't reach far enough."""
     p = prefix_size(n)
@@ -246,7 +252,7 @@ def index(described: DataFrame, deep: DataFrame, hot, multi) -> DataFrame:
 
     def lowest(batches):
         for b in batches:
-            yield rows_of(b.column(0).to_pylist(), b.column(1).to_pylist(), [np.array(x, np.int64).view(np.uint64) for x in b.column(2).to_pylist()])
+            yield rows_of(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)))
 
     def whole(batches):
         for b in batches:
@@ -264,7 +270,7 @@ def too_short(described: DataFrame, hot) -> DataFrame:
     def run(batches):
         h = hot.value
         for b in batches:
-            short = [s for s, n, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if n and prefix(np.array(low, np.int64).view(np.uint64), n, h) is None]
+            short = [s for s, n, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(2)), strict=True) if n and prefix(low, n, h) is None]
             yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64())], names=["sid"])
 
     return described.select("sid", "n", "low").mapInArrow(run, "sid long").distinct()
