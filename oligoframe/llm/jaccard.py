@@ -2,9 +2,10 @@
 
 Documents become sets of word shingles; equal sets are one set. Links are found in two steps.
 
-*Similar sets first.* MinHash bands name sets that are probably alike; each is compared with the smallest and largest set of
-its band, which is linear in the sets however large a band is. Sets joined so need no further comparison with one another,
-and each keeps what it differs in from its leader.
+*Similar sets first.* MinHash bands name sets that are probably alike; each is compared with two sets of its band, which is
+linear in the sets however large a band is: with the most typical one, which has the fewest rare shingles and so lies in the
+middle of a group of edited copies, and with an arbitrary one. Sets joined so need no further comparison with one another, and
+each keeps what it differs in from its leader.
 
 *Then all others, exactly.* The inverted index holds the prefix of each set under one global order: shingles that few sets
 hold come first (``hot`` ones last), then by hash. A pair of the wanted similarity shares a prefix shingle. Lists are sorted
@@ -101,7 +102,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def fetch(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
-    """(sid, n, shingles) of the sets in ids (sid), from one row of each: first (sid, rep, rep_key)."""
+    """(sid, n, shingles) of the sets in ids (sid), from one row of each: first (sid, rep, rep_key, several: whether rows may repeat)."""
     wanted = cut(ids.join(first, "sid").select("sid", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key")))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
@@ -113,8 +114,9 @@ def fetch(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
             for a, sets in sets_of(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "n", "shingles"])
 
+    sets = rows.mapInArrow(run, "sid long, n long, shingles binary")
     # Rows repeated with id and text give one set several times.
-    return cut(rows.mapInArrow(run, "sid long, n long, shingles binary").dropDuplicates(["sid"]))
+    return cut(sets.dropDuplicates(["sid"]) if first.filter("several").limit(1).count() else sets)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,6 +266,23 @@ def index(described: DataFrame, deep: DataFrame, hot, multi) -> DataFrame:
     return both.groupBy("token", "sid").agg(F.max("n").alias("n"), F.max("rest").alias("rest"))
 
 
+def banded(described: DataFrame, hot) -> DataFrame:
+    """(sid, band, order) of each set and band; order: first by the number of rare shingles among the lowest, then by id."""
+
+    def run(batches):
+        h = hot.value
+        for b in batches:
+            sid, low = b.column(0).to_numpy(), lists(b.column(2))
+            rare = np.array([len(x) - int(marked(h, x).sum()) for x in low], np.int64)
+            bands = lists(b.column(1))
+            each = np.array([len(x) for x in bands], np.int64)
+            order = np.minimum(rare, 1 << 20) << 40 | sid & (1 << 40) - 1
+            flat = np.concatenate(bands).view(np.int64) if len(bands) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sid, each)), pa.array(flat), pa.array(np.repeat(order, each))], names=["sid", "band", "order"])
+
+    return described.select("sid", "bands", "low").mapInArrow(run, "sid long, band long, order long")
+
+
 def too_short(described: DataFrame, hot) -> DataFrame:
     """sid of the sets whose prefix isn't in low."""
 
@@ -283,19 +302,18 @@ def pair_ids(pairs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b) of set ids: links that connect all linked sets (not each link inside a component)."""
     spark = docs.sparkSession
-    # 1. Each set with the smallest and the largest of its bands.
-    banded = described.filter("n > 0").select("sid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    near = banded.join(shared, "band").select(F.col("sid").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
+    tokens = cut(described.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
+    hot = spark.sparkContext.broadcast(bitmap(tokens.filter(F.col("sets") > HOT)))
+    # 1. Each set with the most typical and the largest of its bands.
+    bands = banded(described.filter("n > 0"), hot)
+    shared = bands.groupBy("band").agg(F.min_by("sid", "order").alias("typical"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
+    near = bands.join(shared, "band").select(F.col("sid").alias("a"), F.explode(F.array("typical", "high")).alias("b")).filter("a <> b").distinct()
     near = cut(near)
     found = cut(overlaps(near, fetch(docs, pair_ids(near), first)).filter(linked()))
     group = cut(components(found.select("a", "b")).withColumnRenamed("node", "sid"))
-    # Leader of a set: the smallest root, if it is compared with it, or else the most alike of those compared.
+    # The leader of a set is the most alike of those it is compared with.
     lead = found.groupBy(F.col("a").alias("sid")).agg(F.max_by("b", F.struct("overlap", "b")).alias("lead"), F.max_by(F.col("na") - F.col("overlap"), F.struct("overlap", "b")).alias("outside"))
     # 2. The index over all sets.
-    tokens = described.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    tokens = cut(tokens)
-    hot = spark.sparkContext.broadcast(bitmap(tokens.filter(F.col("sets") > HOT)))
     deep = fetch(docs, too_short(described, hot), first)
     multi = bitmap(tokens)
     if not deep.isEmpty():
@@ -345,7 +363,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
     """
     described = cut(describe(docs))
     pick = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = cut(described.filter("n > 0").groupBy("sid").agg(F.min(pick).alias("x")).select("sid", F.col("x.doc_id").alias("rep"), F.col("x.text_key").alias("rep_key")))
+    first = cut(described.filter("n > 0").groupBy("sid").agg(F.min(pick).alias("x"), F.count(F.lit(1)).alias("rows"), F.count_distinct(pick).alias("different")).select("sid", F.col("x.doc_id").alias("rep"), F.col("x.text_key").alias("rep_key"), (F.col("rows") > F.col("different")).alias("several")))
     found = links(docs, described, first)
     reps = first.select("sid", "rep").filter("rep is not null")
     edges = found.join(reps.withColumnRenamed("sid", "a").withColumnRenamed("rep", "x"), "a").join(reps.withColumnRenamed("sid", "b").withColumnRenamed("rep", "y"), "b")
