@@ -2,16 +2,17 @@
 
 Documents become sets of word shingles; equal sets are one set. Links are found in two steps.
 
-*Similar sets first.* MinHash bands name sets that are probably alike; each is compared with two sets of its band, which is
+*Similar sets first.* MinHash bands name sets that are probably alike; each is compared with three sets of its band, which is
 linear in the sets however large a band is: with the most typical one, which has the fewest rare shingles and so lies in the
-middle of a group of edited copies, and with an arbitrary one. Sets joined so need no further comparison with one another, and
+middle of a group of edited copies, with an arbitrary one, and with its neighbour in the order of the other bands. Sets joined so need no further comparison with one another, and
 each keeps what it differs in from its leader.
 
 *Then all others, exactly.* The inverted index holds the prefix of each set under one global order: shingles that few sets
-hold come first (``hot`` ones last), then by hash. A pair of the wanted similarity shares a prefix shingle. Lists are sorted
+hold come first (``hot`` ones later, by steps of their frequency), then by hash. A pair of the wanted similarity shares a prefix shingle. Lists are sorted
 by set size and cut into blocks; a block is skipped whole if sizes, or the positions behind which too little is left, rule
-all its pairs out. Pairs inside one component are skipped. For the others the leaders' overlap is computed once, and
-``|y & z| <= |x & w| + |y - x| + |z - w|`` (x, w the leaders of y, z) answers most pairs from it; only the rest is compared.
+all its pairs out. Pairs inside one component are skipped. Of the others the index names the leaders only; their overlap is
+computed once, and ``|y & z| <= |x & w| + |y - x| + |z - w|`` (x, w the leaders of y, z) answers most pairs from it; only the
+rest is compared.
 
 The order of shingles is a function of fixed-size bit maps, so that any data give a right result, and rarity only speeds it up.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -29,6 +30,8 @@ from .scratch import cut, release, small_batches, table
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 HASHES, ROWS, HOT, LEAST_LOW, BLOCK = 10, 2, 20, 24, 64
+#: A shingle of more than HOT sets is hot, and more so for each further factor of STEP.
+STEP, LEVELS = 4, 4
 BITS = 26
 #: Rows of ids that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1 << 20
@@ -164,14 +167,26 @@ def lists(col: pa.ListArray) -> list[np.ndarray]:
     return np.split(col.values.to_numpy().view(np.uint64)[off[0] : off[-1]], off[1:-1] - off[0]) if len(col) else []
 
 
-def prefix(s: np.ndarray, n: int, hot: np.ndarray) -> np.ndarray | None:
+def classes(s: np.ndarray, hot: list[np.ndarray]) -> np.ndarray:
+    """Of each shingle, in how many of the maps it is: the more, the more frequent."""
+    out = np.zeros(len(s), np.int8)
+    at = np.arange(len(s))
+    for map_ in hot:
+        at = at[marked(map_, s[at])]
+        if not len(at):
+            break
+        out[at] += 1
+    return out
+
+
+def prefix(s: np.ndarray, n: int, hot: list[np.ndarray]) -> np.ndarray | None:
     """The first shingles of a set in the global order; s: its smallest hashes. None if s doesn't reach far enough."""
     p = prefix_size(n)
-    late = marked(hot, s)
-    rare = s[~late]
+    c = classes(s, hot)
+    rare = s[c == 0]
     if len(rare) >= p:
         return rare[:p]
-    return np.concatenate((rare, s[late]))[:p] if len(s) == n else None
+    return s[np.argsort(c, kind="stable")][:p] if len(s) == n else None
 
 
 def list_pairs(n: np.ndarray, rest: np.ndarray, root: np.ndarray):
@@ -198,18 +213,18 @@ def list_pairs(n: np.ndarray, rest: np.ndarray, root: np.ndarray):
 
 
 def candidates(postings: DataFrame) -> DataFrame:
-    """(a, b) distinct, a < b, from postings (token, sid, n, rest, root)."""
+    """(a, b) distinct, a < b: leaders of pairs that may link, from postings (token, sid, n, rest, root, lead)."""
     rows = postings.repartition("token").sortWithinPartitions("token", "n", "sid")
 
     def solve(cols):
-        token, sid, n, rest, root = cols
+        token, _, n, rest, root, lead = cols
         edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         seen = [[], []]
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if z - a > 1:
                 for x, y in list_pairs(n[a:z], rest[a:z], root[a:z]):
-                    seen[0].append(sid[a + x])
-                    seen[1].append(sid[a + y])
+                    seen[0].append(lead[a + x])
+                    seen[1].append(lead[a + y])
                     if sum(map(len, seen[0])) > 1 << 20:
                         yield emit(seen)
                         seen = [[], []]
@@ -222,7 +237,7 @@ def candidates(postings: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 6
         for b in batches:
             cols = [np.concatenate((h, b.column(i).to_numpy())) for i, h in enumerate(held)]
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last list may go on
@@ -267,20 +282,20 @@ def index(described: DataFrame, deep: DataFrame, hot, multi) -> DataFrame:
 
 
 def banded(described: DataFrame, hot) -> DataFrame:
-    """(sid, band, order) of each set and band; order: first by the number of rare shingles among the lowest, then by id."""
+    """(sid, band, order, then, then2, then3) of each set and band; order: first by the number of rare shingles among the lowest, then by id; then: its next bands."""
 
     def run(batches):
         h = hot.value
         for b in batches:
             sid, low = b.column(0).to_numpy(), lists(b.column(2))
-            rare = np.array([len(x) - int(marked(h, x).sum()) for x in low], np.int64)
+            rare = np.array([len(x) - int(marked(h[0], x).sum()) for x in low], np.int64)
             bands = lists(b.column(1))
             each = np.array([len(x) for x in bands], np.int64)
             order = np.minimum(rare, 1 << 20) << 40 | sid & (1 << 40) - 1
-            flat = np.concatenate(bands).view(np.int64) if len(bands) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sid, each)), pa.array(flat), pa.array(np.repeat(order, each))], names=["sid", "band", "order"])
+            turns = [np.concatenate([np.roll(x, -k) for x in bands]).view(np.int64) if len(bands) else np.zeros(0, np.int64) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(sid, each), turns[0], np.repeat(order, each), *turns[1:])], names=["sid", "band", "order", "then", "then2", "then3"])
 
-    return described.select("sid", "bands", "low").mapInArrow(run, "sid long, band long, order long")
+    return described.select("sid", "bands", "low").mapInArrow(run, "sid long, band long, order long, then long, then2 long, then3 long")
 
 
 def too_short(described: DataFrame, hot) -> DataFrame:
@@ -296,56 +311,54 @@ def too_short(described: DataFrame, hot) -> DataFrame:
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
 
 
 def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b) of set ids: links that connect all linked sets (not each link inside a component)."""
     spark = docs.sparkSession
     tokens = cut(described.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
-    hot = spark.sparkContext.broadcast(bitmap(tokens.filter(F.col("sets") > HOT)))
+    hot = spark.sparkContext.broadcast([bitmap(tokens.filter(F.col("sets") > HOT * STEP**k)) for k in range(LEVELS)])
     # 1. Each set with the most typical and the largest of its bands.
     bands = banded(described.filter("n > 0"), hot)
     shared = bands.groupBy("band").agg(F.min_by("sid", "order").alias("typical"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    near = bands.join(shared, "band").select(F.col("sid").alias("a"), F.explode(F.array("typical", "high")).alias("b")).filter("a <> b").distinct()
+    # Neighbours in the order of the other bands are alike in several bands, which follows chains of edits.
+    beside = F.lag("sid").over(Window.partitionBy("band").orderBy("then", "then2", "then3", "sid"))
+    near = bands.join(shared, "band").dropDuplicates(["band", "sid"]).withColumn("beside", beside)
+    near = near.select(F.col("sid").alias("a"), F.explode(F.array("typical", "high", "beside")).alias("b")).filter("a <> b").distinct()
     near = cut(near)
     found = cut(overlaps(near, fetch(docs, pair_ids(near), first)).filter(linked()))
     group = cut(components(found.select("a", "b")).withColumnRenamed("node", "sid"))
     # The leader of a set is the most alike of those it is compared with.
     lead = found.groupBy(F.col("a").alias("sid")).agg(F.max_by("b", F.struct("overlap", "b")).alias("lead"), F.max_by(F.col("na") - F.col("overlap"), F.struct("overlap", "b")).alias("outside"))
     # 2. The index over all sets.
+    # Sets that need more than their lowest shingles are read whole, and their common shingles count as hot as well.
     deep = fetch(docs, too_short(described, hot), first)
-    multi = bitmap(tokens)
-    if not deep.isEmpty():
-        multi |= bitmap(deep.mapInArrow(_explode, "token long"))
+    common = cut(deep.mapInArrow(_explode, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT))
+    hot = spark.sparkContext.broadcast([m | bitmap(common.filter(F.col("sets") > HOT * STEP**k)) for k, m in enumerate(hot.value)])
+    deep = deep.union(fetch(docs, too_short(described, hot).join(deep.select("sid"), "sid", "left_anti"), first))
+    multi = bitmap(tokens) | bitmap(deep.mapInArrow(_explode, "token long"))
     postings = index(described, deep, hot, spark.sparkContext.broadcast(multi))
-    rooted = postings.join(group, "sid", "left").select("token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"))
-    pairs = cut(candidates(rooted))
-    # 3. Answers for pairs from the overlap of their leaders.
-    led = pairs
-    for side in ("a", "b"):
-        of = lead.select(F.col("sid").alias(side), F.col("lead").alias(f"lead_{side}"), F.col("outside").alias(f"outside_{side}"))
-        led = led.join(of, side, "left").withColumn(f"lead_{side}", F.coalesce(f"lead_{side}", side)).withColumn(f"outside_{side}", F.coalesce(f"outside_{side}", F.lit(0)))
-    sizes = described.groupBy("sid").agg(F.max("n").alias("n"))
-    for side in ("a", "b"):
-        led = led.join(sizes.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}")), side)
-    led = cut(led)
-    ordered = led.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
-    leaders = cut(ordered.filter("a <> b").distinct())
+    known = group.join(lead, "sid", "left").select("sid", "root", F.coalesce("lead", "sid").alias("lead"))
+    rooted = postings.join(known, "sid", "left").select("token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"))
+    leaders = cut(candidates(rooted))
+    # 3. Answers for the sets of two leaders from the overlap of these.
     between = cut(overlaps(leaders, fetch(docs, pair_ids(leaders), first)))
-    of = between.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "overlap", linked().alias("joined"))
-    on = (F.least("lead_a", "lead_b") == F.col("_a")) & (F.greatest("lead_a", "lead_b") == F.col("_b"))
-    bounded = led.join(of, on, "left")
-    direct = (F.col("a") == F.col("lead_a")) & (F.col("b") == F.col("lead_b"))
-    most = F.col("overlap") + F.col("outside_a") + F.col("outside_b")
-    # Sets whose leaders are linked are joined already.
-    open_ = F.col("overlap").isNull() | (~direct & ~F.col("joined") & ((NUMERATOR + DENOMINATOR) * most >= needed(F.col("na"), F.col("nb"))))
-    rest = cut(bounded.filter(open_).select("a", "b"))
     more = between.filter(linked()).select("a", "b")
+    sizes = described.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
+    led = cut(lead.join(sizes, "sid").select("lead", "sid", "n", "outside").union(lead.select(F.col("lead").alias("sid")).distinct().join(sizes, "sid").select(F.col("sid").alias("lead"), "sid", "n", F.lit(0).cast("long").alias("outside"))))
+    asked = between.filter(~linked())
+    for side in ("a", "b"):
+        of = led.select(F.col("lead").alias(side), F.col("sid").alias(f"sid_{side}"), F.col("n").alias(f"size_{side}"), F.col("outside").alias(f"outside_{side}"))
+        asked = asked.join(of, side, "left").withColumn(f"sid_{side}", F.coalesce(f"sid_{side}", side)).withColumn(f"size_{side}", F.coalesce(f"size_{side}", f"n{side}")).withColumn(f"outside_{side}", F.coalesce(f"outside_{side}", F.lit(0)))
+    most = F.least(F.col("overlap") + F.col("outside_a") + F.col("outside_b"), "size_a", "size_b")
+    may = ((NUMERATOR + DENOMINATOR) * most >= needed(F.col("size_a"), F.col("size_b"))) & (NUMERATOR * F.greatest("size_a", "size_b") <= DENOMINATOR * F.least("size_a", "size_b"))
+    rest = asked.filter(may & ((F.col("sid_a") != F.col("a")) | (F.col("sid_b") != F.col("b")))).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
+    rest = cut(rest.distinct())
     if not rest.isEmpty():
         more = more.union(overlaps(rest, fetch(docs, pair_ids(rest), first)).filter(linked()).select("a", "b"))
     out = cut(found.select("a", "b").union(more))
-    release(near, tokens, pairs, led, leaders, between, rest)
+    release(near, tokens, leaders, between, led, rest)
     return out
 
 
