@@ -165,14 +165,18 @@ def shared_windows(strings: list[bytes], least: list[int], length: int) -> list[
     out: list[list[int]] = [[] for _ in strings]
     some = anchored(strings, least, length)
     if some:
-        for i, starts in zip(some, Collection([strings[i] for i in some]).shared(length), strict=True):
-            out[i] = starts
+        parts = Collection([strings[i][a:z] for i, a, z in some]).shared(length)
+        for (i, a, _), starts in zip(some, parts, strict=True):
+            out[i] = [a + x for x in starts]
     return out
 
 
-def anchored(strings: list[bytes], least: list[int], length: int) -> list[int]:
-    """Pieces that share with another one an anchor: of a window's length - GRAM bytes beside the minimiser, for some j of
-    ANCHORS at least j parts lie before it and ANCHORS - 1 - j parts behind it."""
+def anchored(strings: list[bytes], least: list[int], length: int) -> list[tuple[int, int, int]]:
+    """Pieces that share an anchor with another one, and the range of each in which windows hold a shared anchor.
+
+    Of a window's length - GRAM bytes beside the minimiser, for some j of ANCHORS at least j parts lie before it and
+    ANCHORS - 1 - j parts behind it: with the minimiser they are the anchor j. Equal windows have an equal anchor.
+    """
     part = (length - GRAM) // ANCHORS
     by: dict[tuple[int, bytes], list[int]] = {}
     for i, (s, m) in enumerate(zip(strings, least, strict=True)):
@@ -180,7 +184,14 @@ def anchored(strings: list[bytes], least: list[int], length: int) -> list[int]:
             a, z = m - part * j, m + GRAM + part * (ANCHORS - 1 - j)
             if a >= 0 and z <= len(s):
                 by.setdefault((j, hashlib.blake2b(s[a:z], digest_size=12).digest()), []).append(i)
-    return sorted({i for x in by.values() if len(x) > 1 for i in x})
+    found: dict[int, tuple[int, int]] = {}
+    for (j, _), pieces in by.items():
+        if len(pieces) > 1:
+            for i in pieces:
+                a, z = least[i] - part * j, least[i] + GRAM + part * (ANCHORS - 1 - j)
+                lo, hi = found.get(i, (len(strings[i]), 0))
+                found[i] = min(lo, max(0, z - length)), max(hi, min(len(strings[i]), a + length))
+    return [(i, *found[i]) for i in sorted(found)]
 
 
 def runs(starts: list[int], length: int) -> list[tuple[int, int]]:
