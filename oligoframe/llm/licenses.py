@@ -235,8 +235,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, fit_docs: int = 200, fit_lines: int = 2000) -> Model:
     """Ordinary paragraphs come from at most fit_docs documents of at most 8 kB, in order of a hash of their ids, and at most fit_lines lines."""
-    rows = docs.filter("text is not null and length(text) < 8192").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(fit_docs).collect()
-    return Model().fit([line for r in rows for line in r[0].split("\n") if line.strip()][:fit_lines])
+    short = docs.filter("doc_id is not null and octet_length(text) < 8192")
+    ids = [r[0] for r in short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).collect()]
+    rows = sorted((r[0], r[1]) for r in short.filter(F.col("doc_id").isin(ids)).select("doc_id", "text").collect())
+    return Model().fit([line for r in rows for line in r[1].split("\n") if line.strip()][:fit_lines])
 
 
 def scan(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
