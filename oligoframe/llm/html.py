@@ -166,7 +166,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     if len(w):
         row = w.row_of()
         bag = np.bincount(row * WORDS_ + (w.hashes() % np.uint64(WORDS_)).astype(np.int64), minlength=len(page) * WORDS_).reshape(len(page), WORDS_)
-        x[:, PATH + NAMES : PATH + NAMES + WORDS_] = bag / np.maximum(1, np.diff(w.rows))[:, None]
+        x[:, PATH + NAMES : PATH + NAMES + WORDS_] = 0.25 * bag / np.maximum(1, np.diff(w.rows))[:, None]
     return x
 
 
@@ -285,7 +285,7 @@ def labelled(pages: list[tuple[str, set[str]]]) -> list[tuple[np.ndarray, np.nda
 
 
 @cache
-def trained(pages: int = 700, seed: int = 11) -> Labeller:
+def trained(pages: int = 1200, seed: int = 11) -> Labeller:
     model = Labeller().fit(labelled(sample_pages(pages, seed)))
     model.p = {k: v.astype(np.float32) for k, v in model.p.items()}
     return model

@@ -14,8 +14,13 @@ _COMMENT = ["Great article, thanks!", "I don't agree with this at all.", "Reply"
 class Writer:
     def __init__(self, rng: random.Random):
         self.rng = rng
-        self.vocabulary = ["".join(rng.choice(_ONSETS) + rng.choice(_RIMES) for _ in range(rng.choice((1, 1, 2, 2, 3)))) for _ in range(400)]
+        self.vocabulary = ["".join(rng.choice(_ONSETS) + rng.choice(_RIMES) for _ in range(rng.choice((1, 1, 2, 2, 3)))) for _ in range(370)] + list("aàäéèiíoóöuüyß0123456789,.-") + ["ä,", "a.", "é,"]
         self.main: set[str] = set()
+        if self.chance(0.12):
+            marks = rng.sample(["%%%", "***", "###", "$$$", "!!", "&&", "…", "|"], 3)
+            self.vocabulary = [w + rng.choice(marks) for w in self.vocabulary]
+        if self.chance(0.06):
+            self.vocabulary = [w.upper() for w in self.vocabulary]
 
     def chance(self, p: float) -> bool:
         return self.rng.random() < p
@@ -32,6 +37,8 @@ class Writer:
         """A paragraph: mostly some sentences, at times a few words."""
         if self.chance(0.15):
             return self.sentence(1, 4)
+        if self.chance(0.04):  # one word over and over
+            return " ".join([self.words(1, 1)] * self.rng.randint(5, 300))
         return " ".join(self.sentence() for _ in range(self.rng.choice((1, 1, 2, 3, 5, 8, 14))))
 
     def good(self, text: str) -> str:
@@ -153,8 +160,12 @@ class Writer:
         after = [f() for f, p in ((self.comments, 0.25), (self.side, 0.3), (self.form, 0.1), (self.advert, 0.25), (self.notice, 0.1), (self.foot, 0.85)) if self.chance(p)]
         if self.chance(0.2):
             self.rng.shuffle(before)
-        title = self.words(2, 9)
-        out = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="<p>x</p>";</script></head><body>' + "".join(before) + "<!-- x -->" + article + "".join(after) + "</body></html>"
+        if self.chance(0.06):  # nothing but the article
+            before, after = [], []
+            if self.chance(0.5):
+                article = f"{a}<p>{self.good(self.prose())}</p>{z}"
+        title = f"<title>{self.words(2, 9)}</title>" if self.chance(0.85) else ""
+        out = f'<!DOCTYPE html><html><head><meta charset="utf-8">{title}<style>p{{margin:0}}</style><script>var t="<p>x</p>";</script></head><body>' + "".join(before) + "<!-- x -->" + article + "".join(after) + "</body></html>"
         return out[: self.rng.randint(len(out) // 2, len(out))] if self.chance(0.12) else out
 
 
