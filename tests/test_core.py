@@ -146,12 +146,12 @@ def test_repeats_are_violations_whatever_the_size(spark):
 
 
 def test_validate_and_report(spark):
-    result = validate(rows(spark, ["ATGCATGC", "AAAAAAAA", "ATGCATGA"]), F0)
+    result = validate(rows(spark, ["ATGCATGC", "AAAAAAAA", "ATGCATGG"]), F0)
     assert (result.total_sequences, result.biological_passed, result.biological_failed) == (3, 2, 1)
-    assert result.distance_violation == (1, 2, "ATGCATGC", "ATGCATGA", 1) and result.validation_method == "pairwise_sequential"
+    assert result.distance_violation == (1, 2, "ATGCATGC", "ATGCATGG", 1) and result.validation_method == "pairwise_sequential"
     text = render(result, F0, ["x"])
     assert "Line 2: AAAAAAAA - GC content outside range; Homopolymer run too long" in text and "VALIDATION FAILED!" in text
-    skipped = validate(rows(spark, ["ATGCATGC", "ATGCATGA"]), F0, skip_distance=True)
+    skipped = validate(rows(spark, ["ATGCATGC", "ATGCATGG"]), F0, skip_distance=True)
     assert skipped.overall_valid and skipped.validation_method == "skipped" and "All barcodes are valid!" in render(skipped, F0, ["x"])
 
 
