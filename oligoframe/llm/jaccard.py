@@ -32,7 +32,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 HASHES, ROWS, HOT, LEAST_LOW, BLOCK = 10, 2, 20, 24, 64
 #: A shingle of more than HOT sets is hot, and more so for each further factor of STEP.
 STEP, LEVELS = 4, 4
-BITS = 26
+#: A map has 16 bits for each shingle that it marks, within these powers of two (8 MB at most).
+LEAST_BITS, MOST_BITS = 13, 26
 #: Rows of ids that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1 << 20
 _SEEDS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -146,18 +147,22 @@ def linked() -> F.Column:
     return (NUMERATOR + DENOMINATOR) * F.col("overlap") >= needed(F.col("na"), F.col("nb"))
 
 
-def bitmap(tokens: DataFrame) -> np.ndarray:
-    """A map of BITS bits (8 MB), made on the executors, that marks each token's low bits."""
-    v = tokens.select((F.pmod("token", F.lit(1 << BITS)) + 1).alias("v"))
+def bits_for(count: int) -> int:
+    return max(LEAST_BITS, min(MOST_BITS, (16 * count).bit_length()))
+
+
+def bitmap(tokens: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2**bits bits, made on the executors, that marks each token's low bits."""
+    v = tokens.select((F.pmod("token", F.lit(1 << bits)) + 1).alias("v"))
     parts = v.groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
-    flat = np.zeros((1 << BITS) // 8, np.uint8)
+    flat = np.zeros(max(4096, (1 << bits) // 8), np.uint8)
     for r in parts:
         flat[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return flat
+    return flat[: (1 << bits) // 8]
 
 
 def marked(map_: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    v = (tokens & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    v = (tokens & np.uint64(8 * len(map_) - 1)).astype(np.int64)
     return (map_[v // 8] >> (v % 8).astype(np.uint8) & 1).astype(bool)
 
 
@@ -318,7 +323,9 @@ def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b) of set ids: links that connect all linked sets (not each link inside a component)."""
     spark = docs.sparkSession
     tokens = cut(described.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
-    hot = spark.sparkContext.broadcast([bitmap(tokens.filter(F.col("sets") > HOT * STEP**k)) for k in range(LEVELS)])
+    counts = tokens.agg(F.count(F.lit(1)), *(F.count_if(F.col("sets") > HOT * STEP**k) for k in range(LEVELS))).first()
+    sizes_of = [bits_for(c) for c in counts]
+    hot = spark.sparkContext.broadcast([bitmap(tokens.filter(F.col("sets") > HOT * STEP**k), sizes_of[k + 1]) for k in range(LEVELS)])
     # 1. Each set with the most typical and the largest of its bands.
     bands = banded(described.filter("n > 0"), hot)
     shared = bands.groupBy("band").agg(F.min_by("sid", "order").alias("typical"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
@@ -335,12 +342,14 @@ def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     # Sets that need more than their lowest shingles are read whole, and their common shingles count as hot as well.
     deep = fetch(docs, too_short(described, hot), first)
     common = cut(deep.mapInArrow(_explode, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT))
-    hot = spark.sparkContext.broadcast([m | bitmap(common.filter(F.col("sets") > HOT * STEP**k)) for k, m in enumerate(hot.value)])
+    hot = spark.sparkContext.broadcast([m | bitmap(common.filter(F.col("sets") > HOT * STEP**k), sizes_of[k + 1]) for k, m in enumerate(hot.value)])
     deep = deep.union(fetch(docs, too_short(described, hot).join(deep.select("sid"), "sid", "left_anti"), first))
-    multi = bitmap(tokens) | bitmap(deep.mapInArrow(_explode, "token long"))
+    whole = deep.mapInArrow(_explode, "token long")
+    wide = max(sizes_of[0], bits_for(deep.agg(F.sum("n")).first()[0] or 0))
+    multi = bitmap(tokens, wide) | bitmap(whole, wide)
     postings = index(described, deep, hot, spark.sparkContext.broadcast(multi))
     known = group.join(lead, "sid", "left").select("sid", "root", F.coalesce("lead", "sid").alias("lead"))
-    rooted = postings.join(known, "sid", "left").select("token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"))
+    rooted = postings.join(known.withColumnRenamed("sid", "of"), F.col("sid") == F.col("of"), "left").select("token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"))
     leaders = cut(candidates(rooted))
     # 3. Answers for the sets of two leaders from the overlap of these.
     between = cut(overlaps(leaders, fetch(docs, pair_ids(leaders), first)))
