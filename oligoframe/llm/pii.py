@@ -155,7 +155,8 @@ def found_in(docs: DataFrame) -> DataFrame:
 def estimate(counts: list[tuple[dict, int]], rounds: int = 60) -> list[float]:
     """Probability of each pattern by expectation-maximisation; counts: votes and kind of a pattern, and how many spans have it.
 
-    Each labeler has a chance of voting 1, 0 or not at all for either truth; each kind has a share of true spans.
+    Each labeler that votes has a chance of voting 1 for either truth, with a prior in its favour; that it abstains tells
+    nothing. Each kind has a share of true spans. Base spans, which have passed their checks, are known to be true.
     """
     p = []
     for row, _ in counts:
@@ -165,9 +166,10 @@ def estimate(counts: list[tuple[dict, int]], rounds: int = 60) -> list[float]:
         chance = {}
         for v in VOTES:
             for truth in (0, 1):
-                n = {1: 0.5, 0: 0.5, None: 0.5}
+                n = {1: 0.5 + 2 * truth, 0: 2.5 - 2 * truth}
                 for (row, c), q in zip(counts, p, strict=True):
-                    n[row[v]] += c * (q if truth else 1 - q)
+                    if row[v] is not None:
+                        n[row[v]] += c * (q if truth else 1 - q)
                 total = sum(n.values())
                 chance[v, truth] = {k: x / total for k, x in n.items()}
         share = {}
@@ -175,8 +177,11 @@ def estimate(counts: list[tuple[dict, int]], rounds: int = 60) -> list[float]:
             a, b = share.get(row["kind"], (1.0, 1.0))
             share[row["kind"]] = (a + c * q, b + c * (1 - q))
         for i, (row, _) in enumerate(counts):
+            if row["kind"] in BASE:
+                p[i] = 1.0
+                continue
             a, b = share[row["kind"]]
-            z = math.log(a / b) + sum(math.log(chance[v, 1][row[v]] / chance[v, 0][row[v]]) for v in VOTES)
+            z = math.log(a / b) + sum(math.log(chance[v, 1][row[v]] / chance[v, 0][row[v]]) for v in VOTES if row[v] is not None)
             p[i] = 1 / (1 + math.exp(-max(-30, min(30, z))))
     return p
 
