@@ -190,7 +190,7 @@ class Model:
             g = np.zeros(len(slots))
             for s in local:
                 g += np.bincount(s, rest, minlength=len(slots))
-            g -= 0.05 * weights
+            g -= 0.3 * weights
             seen += g * g
             weights += rate * g / np.sqrt(seen)
             h = want - have
