@@ -28,11 +28,11 @@ BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: Kinds that the method adds. The first group that matches names the kind.
 MORE = {
     "masked_email": r"[A-Za-z0-9._-]{1,64}\s?[\[(](?:at|AT)[\])]\s?[A-Za-z0-9-]{1,64}(?:\s?(?:[\[(](?:dot|DOT)[\])]|\.)\s?[A-Za-z0-9-]{1,64}){1,4}",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?\S{6,128}",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?\S{6,}+",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?:\([0-9]{3}\)\s?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
-    "person": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{Ll}{1,40}(?:\x20\p{Lu}\p{Ll}{1,40})?",
+    "person": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
 }
 CANDIDATE = r"(?:\G|(?<![\p{L}0-9_+]))(?:" + "|".join(MORE.values()) + ")"
 KINDS = [*BASE, *MORE]

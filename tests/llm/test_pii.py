@@ -61,3 +61,10 @@ def test_odd_rows(odd, table):
 def test_many_matches(table, n):
     text = " ".join(f"u{i}@h{i}.org" for i in range(n))
     assert len(P.personal_data(table([(1, text)])).first()["base"]) == n
+
+
+def test_long_values_are_whole(table):
+    value, name = "aB3" * 100, "A" + "b" * 60
+    texts = [f"the token={value} is here", f"write to Dr. {name} today"]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["more"]] for r in P.found_in(table(list(enumerate(texts)))).select("doc_id", "more").collect()}
+    assert got == {0: [(4, 4 + len("token=") + 300)], 1: [(9, 9 + len("Dr. ") + 61)]}
