@@ -10,9 +10,14 @@ each keeps what it differs in from its leader.
 *Then all others, exactly.* The inverted index holds the prefix of each set under one global order: shingles that few sets
 hold come first (``hot`` ones later, by steps of their frequency), then by hash. A pair of the wanted similarity shares a prefix shingle. Lists are sorted
 by set size and cut into blocks; a block is skipped whole if sizes, or the positions behind which too little is left, rule
-all its pairs out. Pairs inside one component are skipped. Of the others the index names the leaders only; their overlap is
-computed once, and ``|y & z| <= |x & w| + |y - x| + |z - w|`` (x, w the leaders of y, z) answers most pairs from it; only the
-rest is compared.
+all its pairs out. Pairs inside one component are skipped; the entries of the component that holds most of a list are not
+compared with one another at all. A list of more than LONG entries is not worked off in its task: pairs of its blocks are
+dealt over all tasks, where odd sketches (each shingle flips one bit) tell a lower bound of how much two sets differ.
+
+Of the pairs left the index names the leaders only; their overlap is computed once. Leaders that link join their components,
+which answers all their members' pairs. For the others ``|y & z| <= |x & w| + |y - x| + |z - w|`` (x, w the leaders of y, z)
+is held first against whole groups (the largest differences and the range of sizes of all members), then against the members
+of one side, then of both; only the rest is compared.
 
 The order of shingles is a function of fixed-size bit maps, so that any data give a right result, and rarity only speeds it up.
 """
@@ -21,15 +26,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import NOT_SPACE, Words, groups, mix, shingles, view
-from .scratch import cut, release, small_batches, table
+from .scratch import cut, fresh, release, small_batches, table
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 HASHES, ROWS, HOT, LEAST_LOW, BLOCK = 10, 2, 20, 24, 64
+#: A longer list is dealt out in pairs of blocks of DEALT entries; bits of an odd sketch.
+LONG, DEALT, SKETCH = 2048, 512, 1024
 #: A shingle of more than HOT sets is hot, and more so for each further factor of STEP.
 STEP, LEVELS = 4, 4
 #: A map has 16 bits for each shingle that it marks, within these powers of two (8 MB at most).
@@ -72,7 +79,8 @@ def text_key():
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, sid, bands, low) of each row; low: its smallest shingle hashes, at least twice the prefix."""
     small_batches(docs.sparkSession, 256)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    ident = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -102,14 +110,14 @@ def describe(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "text_key", "n", "sid", "bands", "low"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, sid long, bands array<long>, low array<long>")
+    return rows.mapInArrow(run, f"doc_id {ident}, text_key long, n long, sid long, bands array<long>, low array<long>")
 
 
 def fetch(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
     """(sid, n, shingles) of the sets in ids (sid), from one row of each: first (sid, rep, rep_key, several: whether rows may repeat)."""
     wanted = cut(ids.join(first, "sid").select("sid", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key")))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
     on = keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["text_key"] == wanted["text_key"])
     rows = keyed.join(F.broadcast(wanted) if few else wanted, on).select("sid", "text")
 
@@ -194,65 +202,180 @@ def prefix(s: np.ndarray, n: int, hot: list[np.ndarray]) -> np.ndarray | None:
     return s[np.argsort(c, kind="stable")][:p] if len(s) == n else None
 
 
-def list_pairs(n: np.ndarray, rest: np.ndarray, root: np.ndarray):
-    """Pairs of places in one list (sizes ascending; rest: shingles from the place on) that sizes and positions leave, block by block."""
-    count = len(n)
-    for i in range(0, count, BLOCK):
-        a = slice(i, i + BLOCK)
-        room = rest[a].max()
-        longest = n[a].max() * DENOMINATOR // NUMERATOR
-        for j in range(i, count, BLOCK):
-            b = slice(j, j + BLOCK)
-            if n[j] > longest:
+def may_pair(n_a, rest_a, root_a, n_b, rest_b, root_b) -> np.ndarray:
+    """Matrix of which pairs sizes, positions and components leave."""
+    ok = (NUMERATOR + DENOMINATOR) * np.minimum(rest_a[:, None], rest_b[None]) >= needed(n_a[:, None], n_b[None])
+    ok &= NUMERATOR * np.maximum(n_a[:, None], n_b[None]) <= DENOMINATOR * np.minimum(n_a[:, None], n_b[None])
+    ok &= root_a[:, None] != root_b[None]
+    return ok
+
+
+def block_pairs(one, two, same: bool):
+    """Pairs of places in two lists (n, rest, root; sizes ascending) that may link, block by block; same: both are one list."""
+    first_b = two[0][::BLOCK]
+    for i in range(0, len(one[0]), BLOCK):
+        a = [x[i : i + BLOCK] for x in one]
+        room, largest = a[1].max(), a[0][-1]
+        for j in range(i if same else 0, len(two[0]), BLOCK):
+            if NUMERATOR * first_b[j // BLOCK] > DENOMINATOR * largest:
                 break
-            if (NUMERATOR + DENOMINATOR) * min(room, rest[b].max()) < needed(n[i], n[j]):
+            b = [x[j : j + BLOCK] for x in two]
+            if NUMERATOR * a[0][0] > DENOMINATOR * b[0][-1]:
+                continue
+            if (NUMERATOR + DENOMINATOR) * min(room, b[1].max()) < needed(a[0][0], b[0][0]):
                 continue
-            ok = (NUMERATOR + DENOMINATOR) * np.minimum(rest[a, None], rest[None, b]) >= needed(n[a, None], n[None, b])
-            ok &= NUMERATOR * np.maximum(n[a, None], n[None, b]) <= DENOMINATOR * np.minimum(n[a, None], n[None, b])
-            ok &= root[a, None] != root[None, b]
-            x, y = np.nonzero(ok)
-            if i == j:
+            x, y = np.nonzero(may_pair(*a, *b))
+            if same and i == j:
                 x, y = x[x < y], y[x < y]
             if len(x):
                 yield x + i, y + j
 
 
-def candidates(postings: DataFrame) -> DataFrame:
-    """(a, b) distinct, a < b: leaders of pairs that may link, from postings (token, sid, n, rest, root, lead)."""
+def list_pairs(n: np.ndarray, rest: np.ndarray, root: np.ndarray):
+    """Pairs of places in one list (sizes ascending; rest: shingles from the place on) that may link.
+
+    Those of the component with most entries meet the others only.
+    """
+    values, counts = np.unique(root, return_counts=True)
+    if len(values) == 1:
+        return
+    inside = root == values[np.argmax(counts)]
+    most, others = np.flatnonzero(inside), np.flatnonzero(~inside)
+    one, two = ([x[at] for x in (n, rest, root)] for at in (others, most))
+    for x, y in block_pairs(one, one, True):
+        yield others[x], others[y]
+    for x, y in block_pairs(one, two, False):
+        x, y = others[x], most[y]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def leader_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distinct ordered pairs."""
+    return np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+
+
+def candidates(postings: DataFrame, long: int | None = None) -> DataFrame:
+    """Rows of two kinds from postings (token, sid, n, rest, root, lead): pairs (a, b) of leaders of sets that may link, a < b,
+    perhaps several times, and the entries of lists of more than ``long`` (a, b null), numbered in blocks. A task holds no
+    more than ``long`` entries and a batch.
+    """
+    most = LONG if long is None else long
     rows = postings.repartition("token").sortWithinPartitions("token", "n", "sid")
+    names = ["a", "b", "token", "sid", "n", "rest", "root", "lead", "block"]
+    size = 1 << 17
+
+    def run(batches):
+        held: list = []  # the entries so far of the last list
+        last = np.zeros(0, np.int64)  # its shingle
+        passed = 0  # how many of its entries went out
+        seen: list[list] = [[], []]
+        waiting = 0
+
+        def pairs():
+            nonlocal seen, waiting
+            if waiting:
+                found = leader_rows(np.concatenate(seen[0]), np.concatenate(seen[1]))
+                none = pa.nulls(len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), *[none] * 7], names=names)
+            seen, waiting = [[], []], 0
+
+        def solve(cols):
+            nonlocal waiting
+            n, rest, root, lead = cols[2:]
+            if len(n) > 1:
+                for x, y in list_pairs(n, rest, root):
+                    seen[0].append(lead[x])
+                    seen[1].append(lead[y])
+                    waiting += len(x)
+                    if waiting > size:
+                        yield from pairs()
+
+        def pass_on(cols):
+            nonlocal passed
+            none = pa.nulls(len(cols[0]), pa.int64())
+            block = (passed + np.arange(len(cols[0]))) // DEALT
+            passed += len(block)
+            yield pa.RecordBatch.from_arrays([none, none, *map(pa.array, cols), pa.array(block)], names=names)
+
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(6)]
+            edges = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(cols[0])]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                part = [c[a:z].copy() for c in cols]
+                if z > a and list(part[0][:1]) != list(last):
+                    if held:
+                        yield from solve(held)
+                    held, passed, last = [], 0, part[0][:1]
+                held = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else part
+                if len(held[0]) > most or passed:
+                    yield from pass_on(held)
+                    held = []
+        if held:
+            yield from solve(held)
+        yield from pairs()
+
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def dealt_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): leaders of the pairs in long lists that may link; sets: those of the entries."""
+
+    def sketch(batches):
+        for b in batches:
+            out = []
+            for x in b.column(2).to_pylist():
+                flips = np.bincount((mix(np.frombuffer(x, np.uint64)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                out.append(np.packbits(flips.astype(bool)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["sid", "sketch"])
+
+    known = cut(entries.join(sets.mapInArrow(sketch, "sid long, sketch binary"), "sid"))
+    # Which blocks meet is found from a row for each; a block of one component doesn't meet another of the same.
+    blocks = known.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("room"), F.min("root").alias("one"), F.max("root").alias("other"))
+    x, y = (blocks.select("token", F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("low", "high", "room", "one", "other"))) for k in ("i", "j"))
+    fits = (NUMERATOR * F.greatest("low_i", "low_j") <= DENOMINATOR * F.least("high_i", "high_j")) & ((NUMERATOR + DENOMINATOR) * F.least("room_i", "room_j") >= needed(F.col("low_i"), F.col("low_j")))
+    several = (F.least("one_i", "one_j") != F.greatest("other_i", "other_j")) & (F.col("i") <= F.col("j"))
+    meets = cut(x.join(y, "token").filter(several & fits).select("token", "i", "j"))
+    sides = [meets.select("token", "i", "j", F.col("i").alias("block")), meets.filter("i <> j").select("token", "i", "j", F.col("j").alias("block"))]
+    rows = known.join(sides[0].union(sides[1]), ["token", "block"]).select("token", "i", "j", "block", "sid", "n", "rest", "root", "lead", "sketch")
+    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block", "n", "sid")
 
     def solve(cols):
-        token, _, n, rest, root, lead = cols
-        edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-        seen = [[], []]
-        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if z - a > 1:
-                for x, y in list_pairs(n[a:z], rest[a:z], root[a:z]):
-                    seen[0].append(lead[a + x])
-                    seen[1].append(lead[a + y])
-                    if sum(map(len, seen[0])) > 1 << 20:
-                        yield emit(seen)
-                        seen = [[], []]
-        if seen[0]:
-            yield emit(seen)
-
-    def emit(seen):
-        x, y = np.concatenate(seen[0]), np.concatenate(seen[1])
-        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        i, j, block, n, rest, root, lead = cols[1:8]
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        if not len(left) or not len(right):
+            return
+        ok = may_pair(*(c[left] for c in (n, rest, root)), *(c[right] for c in (n, rest, root)))
+        if i[0] == j[0]:
+            ok &= left[:, None] < right[None]
+        x, y = np.nonzero(ok)
+        bits = np.frombuffer(b"".join(cols[8]), np.uint64).reshape(len(cols[8]), -1)
+        keep = [np.zeros(0, np.int64)] * 2
+        for k in range(0, len(x), 1 << 14):
+            p, q = left[x[k : k + (1 << 14)]], right[y[k : k + (1 << 14)]]
+            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
+            # What two linked sets differ in is at most (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR) of their sizes.
+            may = (NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (n[p] + n[q])
+            keep = [np.concatenate((u, lead[v[may]])) for u, v in zip(keep, (p, q), strict=True)]
+        if len(keep[0]):
+            pairs = leader_rows(*keep)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 6
+        held = None
         for b in batches:
-            cols = [np.concatenate((h, b.column(i).to_numpy())) for i, h in enumerate(held)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last list may go on
-            if last:
-                yield from solve([c[:last] for c in cols])
-            held = [c[last:] for c in cols]
-        if len(held[0]):
+            cols = [np.array(b.column(k).to_numpy()) for k in (0, 1, 2, 3, 5, 6, 7, 8)]
+            cols.append(np.array(b.column(9).to_pylist(), object))
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            edges = [0, *new.tolist()]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                yield from solve([c[a:z] for c in cols])
+            held = [c[edges[-1] :] for c in cols]
+        if held is not None and len(held[0]):
             yield from solve(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def index(described: DataFrame, deep: DataFrame, hot, multi) -> DataFrame:
@@ -329,11 +452,10 @@ def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     # 1. Each set with the most typical and the largest of its bands.
     bands = banded(described.filter("n > 0"), hot)
     shared = bands.groupBy("band").agg(F.min_by("sid", "order").alias("typical"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    # Neighbours in the order of the other bands are alike in several bands, which follows chains of edits.
-    beside = F.lag("sid").over(Window.partitionBy("band").orderBy("then", "then2", "then3", "sid"))
-    near = bands.join(shared, "band").dropDuplicates(["band", "sid"]).withColumn("beside", beside)
-    near = near.select(F.col("sid").alias("a"), F.explode(F.array("typical", "high", "beside")).alias("b")).filter("a <> b").distinct()
-    near = cut(near)
+    # Neighbours in the order of the other bands are alike in several bands, which follows chains of edits. A band may go on
+    # in the next task, so that a large one is no task of its own; at such a place a neighbour is missed, which step 2 makes up for.
+    members = bands.join(shared, "band").repartitionByRange("band", "then", "then2", "then3", "sid").sortWithinPartitions("band", "then", "then2", "then3", "sid")
+    near = cut(members.select("band", "sid", "typical", "high").mapInArrow(_near, "a long, b long").distinct())
     found = cut(overlaps(near, fetch(docs, pair_ids(near), first)).filter(linked()))
     group = cut(components(found.select("a", "b")).withColumnRenamed("node", "sid"))
     # The leader of a set is the most alike of those it is compared with.
@@ -341,40 +463,100 @@ def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     # 2. The index over all sets.
     # Sets that need more than their lowest shingles are read whole, and their common shingles count as hot as well.
     deep = fetch(docs, too_short(described, hot), first)
-    common = cut(deep.mapInArrow(_explode, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT))
+    common = cut(deep.mapInArrow(_tokens, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") > HOT))
+    deep_first = deep
     hot = spark.sparkContext.broadcast([m | bitmap(common.filter(F.col("sets") > HOT * STEP**k), sizes_of[k + 1]) for k, m in enumerate(hot.value)])
     deep = deep.union(fetch(docs, too_short(described, hot).join(deep.select("sid"), "sid", "left_anti"), first))
-    whole = deep.mapInArrow(_explode, "token long")
+    whole = deep.mapInArrow(_tokens, "token long, sets long")
     wide = max(sizes_of[0], bits_for(deep.agg(F.sum("n")).first()[0] or 0))
     multi = bitmap(tokens, wide) | bitmap(whole, wide)
     postings = index(described, deep, hot, spark.sparkContext.broadcast(multi))
     known = group.join(lead, "sid", "left").select("sid", "root", F.coalesce("lead", "sid").alias("lead"))
     rooted = postings.join(known.withColumnRenamed("sid", "of"), F.col("sid") == F.col("of"), "left").select("token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"), F.coalesce("lead", "sid").alias("lead"))
-    leaders = cut(candidates(rooted))
+    named = cut(candidates(rooted))
+    pairs = named.filter("a is not null").select("a", "b")
+    entries = named.filter("a is null").drop("a", "b")
+    if not entries.isEmpty():
+        pairs = pairs.union(dealt_pairs(entries, fetch(docs, entries.select("sid").distinct(), first)))
+    leaders = cut(pairs.filter("a <> b").distinct())
     # 3. Answers for the sets of two leaders from the overlap of these.
     between = cut(overlaps(leaders, fetch(docs, pair_ids(leaders), first)))
     more = between.filter(linked()).select("a", "b")
-    sizes = described.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
-    led = cut(lead.join(sizes, "sid").select("lead", "sid", "n", "outside").union(lead.select(F.col("lead").alias("sid")).distinct().join(sizes, "sid").select(F.col("sid").alias("lead"), "sid", "n", F.lit(0).cast("long").alias("outside"))))
-    asked = between.filter(~linked())
-    for side in ("a", "b"):
-        of = led.select(F.col("lead").alias(side), F.col("sid").alias(f"sid_{side}"), F.col("n").alias(f"size_{side}"), F.col("outside").alias(f"outside_{side}"))
-        asked = asked.join(of, side, "left").withColumn(f"sid_{side}", F.coalesce(f"sid_{side}", side)).withColumn(f"size_{side}", F.coalesce(f"size_{side}", f"n{side}")).withColumn(f"outside_{side}", F.coalesce(f"outside_{side}", F.lit(0)))
-    most = F.least(F.col("overlap") + F.col("outside_a") + F.col("outside_b"), "size_a", "size_b")
-    may = ((NUMERATOR + DENOMINATOR) * most >= needed(F.col("size_a"), F.col("size_b"))) & (NUMERATOR * F.greatest("size_a", "size_b") <= DENOMINATOR * F.least("size_a", "size_b"))
-    rest = asked.filter(may & ((F.col("sid_a") != F.col("a")) | (F.col("sid_b") != F.col("b")))).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
-    rest = cut(rest.distinct())
-    if not rest.isEmpty():
+    rest = asked(between, lead, described, cut(found.select("a", "b").union(more)))
+    if rest is not None:
         more = more.union(overlaps(rest, fetch(docs, pair_ids(rest), first)).filter(linked()).select("a", "b"))
     out = cut(found.select("a", "b").union(more))
-    release(near, tokens, leaders, between, led, rest)
+    release(near, tokens, group, deep_first, common, named, leaders, between, *([rest] if rest is not None else []))
     return out
 
 
-def _explode(batches):
+def asked(between: DataFrame, lead: DataFrame, described: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of sets that the overlap of their leaders doesn't answer; None if there are none. joined: links found."""
+    open_ = between.filter(~linked())
+    if open_.isEmpty():
+        return None
+    roots = cut(components(joined))
+    sizes = described.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
+    own = lead.select("lead", "sid", "outside").union(lead.select(F.col("lead").alias("sid")).distinct().select(F.col("sid").alias("lead"), "sid", F.lit(0).cast("long").alias("outside")))
+    led = cut(own.groupBy("lead", "sid").agg(F.min("outside").alias("outside")).join(sizes, "sid"))
+    of = led.groupBy("lead").agg(F.max("outside").alias("most"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    # A set that no other one leads to is a group of its own.
+    for s in ("a", "b"):
+        open_ = open_.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
+        group = of.select(F.col("lead").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("most", "least_n", "most_n")))
+        open_ = open_.join(group, s, "left").withColumns({f"most_{s}": F.coalesce(f"most_{s}", F.lit(0)), f"least_n_{s}": F.coalesce(f"least_n_{s}", f"n{s}"), f"most_n_{s}": F.coalesce(f"most_n_{s}", f"n{s}")})
+    fits = lambda over, na, nb: (NUMERATOR + DENOMINATOR) * F.least(over, na, nb) >= needed(na, nb)
+    near = lambda low_a, high_a, low_b, high_b: (NUMERATOR * F.col(low_a) <= DENOMINATOR * F.col(high_b)) & (NUMERATOR * F.col(low_b) <= DENOMINATOR * F.col(high_a))
+    # Groups as wholes: the smallest sizes need the least overlap.
+    room = (NUMERATOR + DENOMINATOR) * (F.col("overlap") + F.col("most_a") + F.col("most_b")) >= needed(F.col("least_n_a"), F.col("least_n_b"))
+    open_ = open_.filter(F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))).filter(room & near("least_n_a", "most_n_a", "least_n_b", "most_n_b"))
+
+    def with_members(pairs: DataFrame, s: str) -> DataFrame:
+        of = led.select(F.col("lead").alias(s), F.col("sid").alias(f"sid_{s}"), F.col("n").alias(f"size_{s}"), F.col("outside").alias(f"outside_{s}"))
+        return pairs.join(of, s, "left").withColumns({f"sid_{s}": F.coalesce(f"sid_{s}", s), f"size_{s}": F.coalesce(f"size_{s}", f"n{s}"), f"outside_{s}": F.coalesce(f"outside_{s}", F.lit(0))})
+
+    room = (NUMERATOR + DENOMINATOR) * (F.col("overlap") + F.col("outside_a") + F.col("most_b")) >= needed(F.col("size_a"), F.col("least_n_b"))
+    half = with_members(open_, "a").filter(room & near("size_a", "size_a", "least_n_b", "most_n_b"))
+    both = with_members(half, "b").filter(fits(F.col("overlap") + F.col("outside_a") + F.col("outside_b"), F.col("size_a"), F.col("size_b")) & near("size_a", "size_a", "size_b", "size_b"))
+    both = both.filter((F.col("sid_a") != F.col("a")) | (F.col("sid_b") != F.col("b")))
+    rest = cut(both.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct())
+    release(roots, led, joined)
+    return None if rest.isEmpty() else rest
+
+
+def _near(batches):
+    """(a, b) of each row (band, sid, typical, high): its set with those two and with the set of the row before in its band."""
+    last = None
+    for b in batches:
+        band, sid, *others = (b.column(i).to_numpy() for i in range(4))
+        if not len(sid):
+            continue
+        before, of = np.concatenate((sid[:1], sid[:-1])), np.concatenate((band[:1], band[:-1]))
+        if last is not None:
+            before[0], of[0] = last[1], last[0]
+        last = band[-1], sid[-1]
+        pairs = np.concatenate([np.stack((sid, x), 1) for x in others] + [np.stack((sid, before), 1)[of == band]])
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def _tokens(batches):
+    """(token, sets): in how many sets of a task each shingle is; a task's counts are summed up to 2**18 shingles at a time."""
+
+    def counted(parts):
+        token, sets = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sets.astype(np.int64))], names=["token", "sets"])
+
+    held, size = [], 0
     for b in batches:
         for x in b.column(2).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["token"])
+            held.append(np.frombuffer(x, np.int64))
+            size += len(held[-1])
+            if size > 1 << 18:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
@@ -410,9 +592,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cut(groups_of(docs.select("doc_id", "text")))
     gone = cut(found.filter("component_id <> doc_id").select("doc_id", "text_key").distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = docs.withColumn("_key", text_key())
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_gone"))
-    out = keyed.join(F.broadcast(gone) if few else gone, (keyed["doc_id"] == F.col("_id")) & (keyed["_key"] == F.col("_gone")), "left_anti")
+    ident, key = fresh(docs, "ident", "key")
+    gone = gone.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key))
+    out = docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col(ident)) & (text_key() == F.col(key)), "left_anti")
     if not found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
         some = out.filter("doc_id is null")
         out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(some)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..lineage import cut, release, shared_dir
 
-__all__ = ["cut", "release", "shared_dir", "ship", "small_batches", "table"]
+__all__ = ["cut", "fresh", "release", "shared_dir", "ship", "small_batches", "table"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,11 +27,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts go to Python in Arrow batches of few rows, so that a worker's memory is bounded by them."""
+    """Whole texts go to Python in Arrow batches of few rows and 4 MB, or one row, so that a worker's memory is bounded by them."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
-        spark.conf.set(key, str(rows))
+    for key, most, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows, 10_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, (1 << 31) - 1)):
+        now = int(spark.conf.get(key, str(usual)).lower().removesuffix("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns that no column of df has, in whatever case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

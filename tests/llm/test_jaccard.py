@@ -91,3 +91,36 @@ def test_odd_rows(odd, table, spark):
     assert J.groups_of(table([])).count() == 0
     kept = J.stage(spark, odd, "")
     assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8, 10]
+
+
+def test_long_lists_in_blocks_of_few(table, rows, monkeypatch):
+    """Lists that are dealt out in small blocks give the same pairs as lists that are worked off in their task."""
+    monkeypatch.setattr(J, "LONG", 1)
+    monkeypatch.setattr(J, "DEALT", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.groups_of(table(rows)).collect()}
+    assert got == plain(rows)
+
+
+def test_one_group_around_the_threshold(table, words, monkeypatch):
+    """Edited copies of one text whose similarities to one another lie on both sides of the threshold."""
+    r = random.Random(12)
+    base = words(240, 21, 3000).split()
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for j in r.sample(range(len(w)), r.randint(2, 6)):
+            w[j] = f"e{k}x{j}"
+        rows.append((k, " ".join(w)))
+    want = plain(rows)
+    assert len({c for _, c in want.values()}) > 1
+    monkeypatch.setattr(J, "LONG", 50)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.groups_of(table(rows)).collect()} == want
+
+
+def test_ids_of_text_and_clashing_columns(spark, words):
+    text = words(60, 4)
+    rows = [("b", text, 1, 2), ("a", text, 3, 4), ("c", words(60, 5), 5, 6), (None, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, Ident long, key long")
+    assert {r["doc_id"]: r["component_id"] for r in J.groups_of(docs).collect()} == {"a": "a", "b": "a", "c": "c", None: None}
+    kept = J.stage(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {"a", "c", None}
