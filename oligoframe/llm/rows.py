@@ -12,13 +12,15 @@ from .scratch import small_batches
 
 
 def extend(docs: DataFrame, added: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the columns ``added``, which ``make()(batch)`` returns in order; a column of the same name is replaced.
+    """docs with the columns ``added``, which ``make()(batch)`` returns in order; a column of the same name, in whatever case, is replaced.
 
     No shuffle. ``drop``: columns that the result doesn't carry.
     """
     small_batches(docs.sparkSession)
     new = added.fieldNames()
-    keep = [f for f in docs.schema.fields if f.name not in drop and f.name not in new]
+    gone = {n.lower() for n in (*drop, *new)}
+    at = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in gone]
+    keep = [docs.schema.fields[i] for i in at]
     kept = [f.name for f in keep]
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,7 +31,7 @@ def extend(docs: DataFrame, added: T.StructType, make: Callable[[], Callable[[pa
         for b in batches:
             out = row(b)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(n)) for n in kept] + [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, t) for x, t in zip(out, arrow, strict=True)],
+                [b.column(i) for i in at] + [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, t) for x, t in zip(out, arrow, strict=True)],
                 names=kept + new,
             )
 

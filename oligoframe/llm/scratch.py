@@ -26,13 +26,12 @@ def ship(spark: SparkSession) -> None:
         sc._oligoframe_sent = True
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts go to Python in Arrow batches of few rows and 4 MB, or one row, so that a worker's memory is bounded by them."""
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of 2 MB, or one row, so that a worker's memory is bounded by them; narrow rows in batches as usual."""
     ship(spark)
-    for key, most, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows, 10_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, (1 << 31) - 1)):
-        now = int(spark.conf.get(key, str(usual)).lower().removesuffix("b"))
-        if now > most or now <= 0:
-            spark.conf.set(key, str(most))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).lower().removesuffix("b")) > 2 << 20:
+        spark.conf.set(key, str(2 << 20))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import Collection
-from .kernel import Ranges, groups, mix, view
+from .kernel import Ranges, groups, mix, trim, view
 from .rows import column, extend
-from .scratch import cut, release, small_batches, table
+from .scratch import cut, fresh, release, small_batches, table
 
-LENGTH, GRAM, ANCHORS, HOT, BATCH = 400, 16, 8, 20_000, 1 << 21
+LENGTH, GRAM, ANCHORS, HOT, BATCH = 400, 16, 8, 20_000, 1 << 20
 #: Bits of the filter that tells which minimisers have several different pieces; it lets through some others, which does no harm.
 FILTER_BITS = 26
 COLUMNS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
@@ -105,13 +105,13 @@ def signed(x: np.ndarray) -> pa.Array:
 
 def read_pieces(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, text_key, start, size, least, key, one, two) of every piece, without bytes."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     names = ["doc_id", "text_key", "start", "size", "least", "key", "one", "two"]
 
     def run(batches):
         for b in batches:
             data, off = view(b.column(2))
-            for a, z in groups(off, 1 << 20):
+            for a, z in groups(off, 1 << 18):
                 p = Pieces(data[off[a] : off[z]], off[a : z + 1] - off[a], length)
                 of = pa.array(p.row + a)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(p.start), pa.array(p.size), pa.array(p.least), signed(p.key), signed(p.one), signed(p.two)], names=names)
@@ -137,7 +137,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             data, off = view(b.column(0))
-            for a, z in groups(off, 1 << 20):
+            for a, z in groups(off, 1 << 18):
                 part = data[off[a] : off[z]]
                 p = Pieces(part, off[a : z + 1] - off[a], length)
                 v = (p.key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
@@ -219,9 +219,11 @@ def compare(pieces: DataFrame, length: int) -> DataFrame:
                 if group and r[0] != group[-1][0] and size > BATCH:
                     yield from solve(group)
                     group, size = [], 0
+                    trim()
                 group.append(r)
                 size += len(r[4])
         yield from solve(group)
+        trim()
 
     def solve(group):
         found = shared_windows([r[4] for r in group], [r[3] for r in group], length)
@@ -281,30 +283,38 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
 
     Null text is empty. Rows that repeat id and text count as places of their own. Columns of docs named like a new one are replaced.
     """
-    lost = repeats(docs.select("doc_id", "text"), length, hot).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("ranges").alias("_ranges"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = docs.drop(*COLUMNS.fieldNames()).join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left").drop("_id", "_key")
+    ident, key, ranges = fresh(docs, "ident", "key", "ranges")
+    lost = repeats(docs.select("doc_id", "text"), length, hot).select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), F.col("ranges").alias(ranges))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = docs.drop(*COLUMNS.fieldNames()).join(lost, F.col("doc_id").eqNullSafe(F.col(ident)) & (own == F.col(key)), "left").drop(ident, key)
 
     def make():
         def row(b: pa.RecordBatch) -> list:
             data, off = view(column(b, "text"))
-            sizes = np.diff(off)
-            removed, n_spans, kept = [], [], []
-            for i, ranges in enumerate(column(b, "_ranges").to_pylist()):
-                gone = np.zeros(sizes[i] + 1, np.int64)
-                text = data[off[i] : off[i + 1]]
-                for r in ranges or ():
-                    gone[r["begin"]] += 1
-                    gone[r["finish"]] -= 1
-                mask = np.cumsum(gone[:-1]) > 0
-                removed.append(int(mask.sum()))
-                n_spans.append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
-                kept.append(text[~mask].tobytes())
-            return [sizes, removed, n_spans, kept]
+            n_removed, n_spans, kept = [], [], []
+            for i, (begin, finish) in enumerate(merged(column(b, ranges))):
+                stays = np.concatenate(([0], finish)), np.concatenate((begin, [off[i + 1] - off[i]]))
+                n_removed.append(int((finish - begin).sum()))
+                n_spans.append(len(begin))
+                kept.append(b"".join(data[off[i] + a : off[i] + z].tobytes() for a, z in zip(*(x.tolist() for x in stays), strict=True)))
+            return [np.diff(off), n_removed, n_spans, kept]
 
         return row
 
-    return extend(found, COLUMNS, make, ("_ranges",))
+    return extend(found, COLUMNS, make, (ranges,))
+
+
+def merged(col: pa.ListArray):
+    """Per row of a column of (begin, finish), the starts and ends of the maximal runs that they cover, ascending."""
+    off = col.offsets.to_numpy()
+    first, last = (col.values.field(k).to_numpy() for k in (0, 1))
+    for i in range(len(col)):
+        begin, finish = first[off[i] : off[i + 1]], last[off[i] : off[i + 1]]
+        order = np.argsort(begin, kind="stable")
+        begin, finish = begin[order], np.maximum.accumulate(finish[order])
+        new = np.ones(len(begin), bool)
+        new[1:] = begin[1:] > finish[:-1]
+        yield begin[new], finish[np.concatenate((new[1:], [True]))] if len(new) else finish
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

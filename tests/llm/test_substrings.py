@@ -53,3 +53,23 @@ def test_odd_rows(odd, table):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in rows}
     assert len(rows) == 11 and got[1] == (0, 0) and got[8] == got[9] and got[8][0] == got[8][1] and got[7] == (30_000, 30_000)
     assert S.without_repeats(table([])).count() == 0
+
+
+def test_clashing_columns_and_ids_of_text(spark, words):
+    text = words(150, 4)
+    docs = spark.createDataFrame([("a", text, 1, 2, 3, 4), ("b", text, 5, 6, 7, 8), (None, None, 9, 9, 9, 9)], "doc_id string, text string, ident long, KEY long, Ranges long, N_BYTES long")
+    out = S.without_repeats(docs)
+    assert out.columns == ["doc_id", "text", "ident", "KEY", "Ranges", "n_bytes", "n_removed", "n_spans", "kept"]
+    got = {r["doc_id"]: (r["ident"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()}
+    n = len(text)
+    assert got == {"a": (1, n, n, 1, b""), "b": (5, n, n, 1, b""), None: (9, 0, 0, 0, b"")}
+
+
+def test_query_holds_the_contract(spark, table, texts, tmp_path):
+    import hashlib
+
+    table(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    out = S.op9_suffix_dedup(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    want = [(k, *x[:3], hashlib.sha256(x[3]).hexdigest()) for k, x in enumerate(plain(texts, 400))]
+    assert sorted(tuple(r) for r in out.collect()) == want
