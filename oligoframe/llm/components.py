@@ -1,9 +1,10 @@
 """Connected components with DataFrame operations only: a distributed union-find.
 
-Each node points to the smallest node it knows. A round hooks every node to the smallest pointer among its neighbours, then
-follows pointers twice. Rounds grow with the logarithm of the longest chain. State is written to the shared folder each
-round, so lineage stays short and a lost executor costs no earlier round; a hot node is one row of pointers and its many
-links are summed in their tasks first.
+A round hooks every node to the smallest of its neighbours and itself, follows these pointers twice, and then contracts the
+links: each end becomes the node that it points to, and what lies inside one node is gone. Links shrink with every round, and
+rounds grow with the logarithm of the longest chain. State is written to the shared folder each round, so lineage stays short
+and a lost executor costs no earlier round; a hot node is one row of pointers and its many links are summed in their tasks
+first.
 """
 
 from __future__ import annotations
@@ -17,18 +18,25 @@ from .scratch import cut, release
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that links reach. edges: columns a and b, of one orderable type, in any order.
 
-    Links with a null or to themselves are ignored; nodes without other links have no row.
+    Links with a null or to themselves are ignored, repeated ones count once; nodes without other links have no row.
     """
     edges = edges.filter("a <> b")
     links = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    known = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    known = None
     while True:
-        near = links.join(known.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = known.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        hooked = links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         for _ in range(2):
-            to = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            hooked = cut(hooked.join(to, "root").select("node", "old", F.col("next").alias("root")))
-        if hooked.filter("root <> old").isEmpty():
-            release(links)
-            return hooked.select("node", "root")
-        known = hooked.select("node", "root")
+            # A node that nothing hooks to is reached by no pointer; all pointers end at nodes of this round.
+            hooked = cut(hooked.join(hooked.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+        if known is None:
+            grown = hooked.select("node", F.col("to").alias("root"))
+        else:
+            moved = hooked.select(F.col("node").alias("root"), "to")
+            grown = cut(known.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        a, b = (hooked.select(F.col("node").alias(k), F.col("to").alias(f"to_{k}")) for k in ("a", "b"))
+        inside = links.join(a, "a").join(b, "b").filter("to_a <> to_b")
+        contracted = cut(inside.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        release(links)
+        if contracted.isEmpty():
+            return grown
+        links, known = contracted, grown

@@ -59,7 +59,7 @@ def needed(a, b):
 def sets_of(texts: pa.Array):
     """Per row, the ascending distinct shingle hashes, in groups: (first row, list of arrays)."""
     data, off = view(texts)
-    for a, z in groups(off, 1 << 20):
+    for a, z in groups(off, 1 << 18):
         w = Words(data[off[a] : off[z]], off[a : z + 1] - off[a], NOT_SPACE)
         s, rows = shingles(w.hashes(), w.rows, WIDTH)
         yield a, [np.unique(s[x:y]) for x, y in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
@@ -78,7 +78,7 @@ def text_key():
 
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, sid, bands, low) of each row; low: its smallest shingle hashes, at least twice the prefix."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
     ident = rows.schema["doc_id"].dataType.simpleString()
 
@@ -266,7 +266,7 @@ def candidates(postings: DataFrame, long: int | None = None) -> DataFrame:
 
     def run(batches):
         held: list = []  # the entries so far of the last list
-        last = np.zeros(0, np.int64)  # its shingle
+        last = None  # its shingle
         passed = 0  # how many of its entries went out
         seen: list[list] = [[], []]
         waiting = 0
@@ -299,14 +299,19 @@ def candidates(postings: DataFrame, long: int | None = None) -> DataFrame:
 
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(6)]
-            edges = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(cols[0])]
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                part = [c[a:z].copy() for c in cols]
-                if z > a and list(part[0][:1]) != list(last):
+            if not len(cols[0]):
+                continue
+            edges = np.concatenate(([0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1, [len(cols[0])]))
+            # Lists within the batch of one component, or of one entry, have no pairs.
+            several = np.minimum.reduceat(cols[4], edges[:-1]) != np.maximum.reduceat(cols[4], edges[:-1])
+            several[0] = several[-1] = True
+            for k in np.flatnonzero(several).tolist():
+                part = [c[edges[k] : edges[k + 1]] for c in cols]
+                if part[0][0] != last:
                     if held:
                         yield from solve(held)
-                    held, passed, last = [], 0, part[0][:1]
-                held = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else part
+                    held, passed, last = [], 0, part[0][0]
+                held = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else [c.copy() for c in part]
                 if len(held[0]) > most or passed:
                     yield from pass_on(held)
                     held = []
@@ -482,20 +487,22 @@ def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     # 3. Answers for the sets of two leaders from the overlap of these.
     between = cut(overlaps(leaders, fetch(docs, pair_ids(leaders), first)))
     more = between.filter(linked()).select("a", "b")
-    rest = asked(between, lead, described, cut(found.select("a", "b").union(more)))
+    roots = cut(components(found.select("a", "b").union(more)))
+    rest = asked(between, lead, described, roots)
+    # What is joined so far is known by one link of each set to its root.
+    out = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     if rest is not None:
-        more = more.union(overlaps(rest, fetch(docs, pair_ids(rest), first)).filter(linked()).select("a", "b"))
-    out = cut(found.select("a", "b").union(more))
-    release(near, tokens, group, deep_first, common, named, leaders, between, *([rest] if rest is not None else []))
+        out = out.union(overlaps(rest, fetch(docs, pair_ids(rest), first)).filter(linked()).select("a", "b"))
+    out = cut(out)
+    release(near, found, tokens, group, deep_first, common, named, leaders, between, roots, *([rest] if rest is not None else []))
     return out
 
 
-def asked(between: DataFrame, lead: DataFrame, described: DataFrame, joined: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) of sets that the overlap of their leaders doesn't answer; None if there are none. joined: links found."""
+def asked(between: DataFrame, lead: DataFrame, described: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of sets that the overlap of their leaders doesn't answer; None if there are none. roots: (node, root) of the links found."""
     open_ = between.filter(~linked())
     if open_.isEmpty():
         return None
-    roots = cut(components(joined))
     sizes = described.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
     own = lead.select("lead", "sid", "outside").union(lead.select(F.col("lead").alias("sid")).distinct().select(F.col("sid").alias("lead"), "sid", F.lit(0).cast("long").alias("outside")))
     led = cut(own.groupBy("lead", "sid").agg(F.min("outside").alias("outside")).join(sizes, "sid"))
@@ -520,7 +527,7 @@ def asked(between: DataFrame, lead: DataFrame, described: DataFrame, joined: Dat
     both = with_members(half, "b").filter(fits(F.col("overlap") + F.col("outside_a") + F.col("outside_b"), F.col("size_a"), F.col("size_b")) & near("size_a", "size_a", "size_b", "size_b"))
     both = both.filter((F.col("sid_a") != F.col("a")) | (F.col("sid_b") != F.col("b")))
     rest = cut(both.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct())
-    release(roots, led, joined)
+    release(led)
     return None if rest.isEmpty() else rest
 
 
