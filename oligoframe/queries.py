@@ -142,15 +142,12 @@ def hamming_violations(spark, d):
     return self_join(library(spark, d, 12), 3)
 
 
-_SMALL_MIXED = f"(select * from {_MIXED} where id < 12000)"
-
-
-@query(_pairs_sql(_SMALL_MIXED, "levenshtein(a.seq, b.seq)", "length(a.seq) <> length(b.seq) and abs(length(a.seq) - length(b.seq)) < 3"))
+@query(_pairs_sql(_MIXED, "levenshtein(a.seq, b.seq)", "length(a.seq) <> length(b.seq) and abs(length(a.seq) - length(b.seq)) < 3"))
 def levenshtein_violations(spark, d):
     return self_join(mixed_library(spark, d), 3).filter("length(seq1) <> length(seq2)")
 
 
-@query(_pairs_sql(_SMALL_MIXED, "case when length(a.seq) = length(b.seq) then hamming(a.seq, rpad(b.seq, length(a.seq)::int, 'A')) else levenshtein(a.seq, b.seq) end", "abs(length(a.seq) - length(b.seq)) < 3"))
+@query(_pairs_sql(_MIXED, "case when length(a.seq) = length(b.seq) then hamming(a.seq, rpad(b.seq, length(a.seq)::int, 'A')) else levenshtein(a.seq, b.seq) end", "abs(length(a.seq) - length(b.seq)) < 3"))
 def mixed_distance_violations(spark, d):
     return self_join(mixed_library(spark, d), 3)
 
