@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the number of copies c that each of its documents is expected to get. floor(c) copies are
-certain; the rest, p = c - floor(c), is an inclusion probability, and documents are ranked by their random odds u / (1 - u)
-over their inclusion odds p / (1 - p): those of the smallest ranks are taken until the words that the certain copies leave
-open are reached. u comes from a digest of a seed and the id, so that reruns agree.
-
-How far down the ranking a source goes is found without sorting a source in one task: words are summed by source and the
-first 16 bits of the rank's place, and only the bin where the target falls is looked at rank by rank. The outcome is one
-row for each source with the largest rank taken; documents are compared with it by themselves.
+Each document of a source is expected in c copies: c grows with the document's size class (its size's power of two, to the
+``LEAN``), is 2 at most, and is scaled so that all expected words of the source are its target. floor(c) copies are certain;
+the rest, p = c - floor(c), is the document's inclusion probability, which differs by size class. Documents are ranked by
+their random odds u / (1 - u) over their inclusion odds p / (1 - p): those of the smallest ranks are taken until the words
+that the certain copies leave open are reached. u comes from a digest of a seed and the id, so that reruns agree.
+
+The scale is found from one row for each source and size class. How far down the ranking a source goes is found without
+sorting a source in one task: words are summed by source and the first 16 bits of the rank's place, and only the bin where
+the target falls is looked at rank by rank. The outcome is a row for each source and size class with the largest rank taken;
+documents are compared with it by themselves.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, table
+from .scratch import cut, fresh, table
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
+LEAN = 0.25
 BINS = 1 << 16
 _UNIT = float(1 << 48)
 
@@ -61,17 +64,43 @@ def rank(odds: Column, p: Column) -> Column:
     return q / (1 + q)
 
 
-def plan(sized: DataFrame, **shares) -> DataFrame:
-    """One row a source: source_size, target, certain copies, p, and the largest rank taken (null: none).
+def size_class(size: Column) -> Column:
+    """The power of two in a size; null for none."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1)
+
+
+def expected(classes: DataFrame, most: float, lean: float) -> DataFrame:
+    """classes (source, class, words, target) with the copies that each document of a class is expected in.
+
+    Copies are weight times one level for a source, ``most`` at most: classes sorted by weight are capped while the level that
+    the rest would get lies above their cap. A row for each source and class, of which a source has 64 at most.
+    """
+    weight = F.pow(F.lit(2.0), F.col("class") * lean)
+    everything = Window.partitionBy("source")
+    before = everything.orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    weighed = F.col("words") * F.col("weight")
+    left = F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))
+    level = left / (F.sum(weighed).over(everything) - F.coalesce(F.sum(weighed).over(before), F.lit(0.0)))
+    leveled = classes.withColumn("weight", weight).withColumn("level", level)
+    free = F.max(F.when(F.col("level") * F.col("weight") <= most, F.struct("class", "level"))).over(everything)["level"]
+    return leveled.withColumn("copies", F.round(F.coalesce(F.least(F.lit(most), F.col("weight") * free), F.lit(most)), 9)).drop("weight", "level")
+
+
+def plan(sized: DataFrame, lean: float = LEAN, most: float = MOST, **shares) -> DataFrame:
+    """A row for each source and size class: source_size, target, certain copies, p, and the source's largest rank taken (null: none).
 
     sized: source, size, odds.
     """
-    sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    by_source = targets(sizes, **shares).withColumn("copies", copies).withColumn("certain", F.floor("copies")).withColumn("p", F.col("copies") - F.col("certain"))
-    by_source = cut(by_source.withColumn("open", F.col("target") - F.col("certain") * F.col("source_size")))
+    classes = cut(sized.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.sum("size").cast("long").alias("words")))
+    by_source = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), most=most, **shares).withColumnRenamed("source", "_source")
+    known = classes.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    some = expected(known.filter("class is not null"), most, lean).withColumn("certain", F.floor("copies")).withColumn("p", F.col("copies") - F.col("certain"))
+    some = some.withColumn("open", F.col("target") - F.sum(F.col("certain") * F.col("words")).over(Window.partitionBy("source")))
+    none = known.filter("class is null").select("*", *(F.lit(0.0).alias(c) for c in ("copies", "certain", "p", "open")))
+    by_class = cut(some.select(none.columns).union(none))
+    of = by_class.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "p", "open")
     ranked = (
-        sized.join(by_source.select(F.col("source").alias("_source"), "p", "open"), F.col("source").eqNullSafe(F.col("_source")))
+        sized.join(of, F.col("source").eqNullSafe(F.col("_source")) & (size_class(F.col("size")) == F.col("_class")))
         .filter("p > 0 and size > 0")
         .select("source", "size", "open", rank(F.col("odds"), F.col("p")).alias("rank"))
         .withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
@@ -96,30 +125,30 @@ def plan(sized: DataFrame, **shares) -> DataFrame:
         .agg(F.max(F.when(F.col("taken"), F.col("rank"))).alias("within"))
         .select(F.col("source").alias("_source"), F.coalesce("within", F.col("bin") / F.lit(float(BINS)) - 1e-18).alias("last_rank"))
     )
-    return by_source.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "open", "copies")
+    return by_class.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "open", "copies", "words")
 
 
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """docs with size (words), source_size, target, copies and taken (size times copies).
 
     Null texts and texts without words have size 0 and are never taken. A null source is a source, the last one. Rows that
-    share an id share its rank. Columns of docs named like a new one are replaced.
+    share an id share its random odds, and each counts. Texts of any length are counted whole. Columns of docs named like a
+    new one are replaced; others may have any name.
     """
     new = ("size", "source_size", "target", "copies", "taken")
     docs = docs.drop(*new)
     sized = docs.withColumn("size", words(F.col("text")))
     narrow = cut(sized.select("doc_id", "source", "size"))
+    origin, kind, found = fresh(sized, "origin", "kind", "found")
     chosen = plan(narrow.withColumn("odds", random_odds(F.col("doc_id"), seed)), **shares)
-    chosen = cut(chosen.withColumnRenamed("source", "_source"))
-    base = narrow if set(docs.columns) <= {"doc_id", "source", "text"} else sized
-    extra = F.when((F.col("p") > 0) & (rank(random_odds(F.col("doc_id"), seed), F.col("p")) <= F.col("last_rank")), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.col("certain") + extra).otherwise(0).cast("long")
-    return (
-        base.join(chosen, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .withColumn("copies", copies)
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .select(*base.columns, *(x for x in new if x not in base.columns))
-    )
+    chosen = cut(chosen.select(F.col("source").alias(origin), F.col("class").alias(kind), F.struct("source_size", "target", "certain", "p", "last_rank").alias(found)))
+    base = narrow if {c.lower() for c in docs.columns} <= {"doc_id", "source", "text"} else sized
+    of = lambda name: F.col(found)[name]
+    extra = F.when((of("p") > 0) & (rank(random_odds(F.col("doc_id"), seed), of("p")) <= of("last_rank")), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, of("certain") + extra).otherwise(0).cast("long")
+    same = F.col("source").eqNullSafe(F.col(origin)) & size_class(F.col("size")).eqNullSafe(F.col(kind))
+    joined = base.join(chosen, same, "left").select("*", of("source_size").alias("source_size"), of("target").alias("target"), copies.alias("copies"))
+    return joined.withColumn("taken", F.col("size") * F.col("copies")).select(*base.columns, *(x for x in new if x not in base.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +180,25 @@ with d as (
   select *, (select arg_min(level, cap / weight) from l where level <= cap / weight) as free from l
 ), t as (
   select source, source_size, coalesce(least(cap, weight * free), cap)::double as target from f
+), k as (
+  select source, length(bin(size)) - 1 as class, sum(size)::bigint as words from d where size > 0 group by all
+), m as (
+  select k.*, t.target, pow(2.0::double, class * 0.25::double) as weight from k join t on k.source is not distinct from t.source
+), v as (
+  select *, (target - 2.0::double * coalesce(sum(words) over (partition by source order by class desc rows between unbounded preceding and 1 preceding), 0))
+    / (sum(words * weight) over (partition by source)
+      - coalesce(sum(words * weight) over (partition by source order by class desc rows between unbounded preceding and 1 preceding), 0)) as level
+  from m
+), e as (
+  select *, round(coalesce(least(2.0::double, weight * arg_max(level, class) filter (level * weight <= 2) over (partition by source)), 2), 9) as c from v
 ), c as (
-  select *, case when source_size > 0 then target / source_size else 0 end as c, floor(case when source_size > 0 then target / source_size else 0 end) as certain from t
+  select *, c - floor(c) as p, floor(c) as certain, target - sum(floor(c) * words) over (partition by source) as open from e
+), q as (
+  select d.*, t.source_size, t.target, c.certain, c.p, c.open, u / (1 - u) * (1 - c.p) / nullif(c.p, 0) as q
+  from d join t on d.source is not distinct from t.source
+    left join c on d.source is not distinct from c.source and d.size > 0 and length(bin(d.size)) - 1 = c.class
 ), r as (
-  select d.*, c.source_size, c.target, c.certain, c.c - c.certain as p, c.target - c.certain * c.source_size as open,
-    sum(d.size) over (partition by d.source order by d.u rows between unbounded preceding and current row) as upto
-  from d join c on d.source is not distinct from c.source
+  select *, sum(case when p > 0 then size else 0 end) over (partition by source order by q / (1 + q) nulls last rows between unbounded preceding and current row) as upto from q
 ), x as (
   select *, case when size > 0 then certain + (case when p > 0 and upto - size / 2.0 <= open then 1 else 0 end) else 0 end as n from r
 )

@@ -50,6 +50,25 @@ def test_sql(table, words, tmp_path):
     assert {r["doc_id"]: (r["size"], r["source_size"], r["copies"], r["taken"]) for r in M.mix(docs).collect()} == want
 
 
+def test_longer_texts_are_likelier(table, words):
+    """Inclusion probabilities differ within a source, and the shares taken follow them."""
+    docs = table([(i, words(8 if i % 2 else 128, i)) for i in range(1500)])
+    got = M.mix(docs, share=0.5).collect()
+    share = {n: sum(r["copies"] for r in got if r["size"] == n) / sum(r["size"] == n for r in got) for n in (8, 128)}
+    assert share[128] / share[8] == pytest.approx(2, rel=0.2)  # (128 / 8) ** LEAN
+    even = M.mix(docs, share=0.5, lean=0.0).collect()
+    share = {n: sum(r["copies"] for r in even if r["size"] == n) / sum(r["size"] == n for r in even) for n in (8, 128)}
+    assert share[128] / share[8] == pytest.approx(1, rel=0.2)
+
+
+def test_clashing_columns(table, words):
+    docs = table([(i, words(20, i)) for i in range(30)])
+    more = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("p", "certain", "last_rank", "_source", "origin", "Kind", "found", "class"))))
+    got = M.mix(more)
+    assert got.columns[: len(more.columns)] == more.columns and {r["p"] for r in got.collect()} == {0}
+    assert {r["doc_id"]: r["taken"] for r in got.collect()} == {r["doc_id"]: r["taken"] for r in M.mix(docs).collect()}
+
+
 def test_odd_rows(odd, table, spark):
     got = M.mix(odd.withColumn("target", F.lit("old"))).collect()
     assert len(got) == 11 and all(r["taken"] == 0 for r in got if not (r["text"] or "").strip()) and all(r["copies"] <= 2 for r in got)
