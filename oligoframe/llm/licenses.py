@@ -1,10 +1,13 @@
 """License scans by a trained paragraph classifier.
 
-Every paragraph (line) of a text becomes hashed counts of its word unigrams and bigrams. A multinomial logistic regression
+A text is cut into units: its lines, and of long lines stretches of UNIT words. Paragraphs are windows of one to MOST_UNITS
+units that follow one another without a blank line between, so that wrapped notices, and those amid a long line, are seen
+whole. Every paragraph becomes hashed counts of its word unigrams and bigrams. A multinomial logistic regression
 over the licence families and an unknown class is fitted on the driver to notices of each family, varied by a fixed random
 generator (words dropped, foreign words before and behind, wrappings), and to a bounded sample of ordinary paragraphs. Its
 temperature and the threshold of the unknown class are calibrated on variants kept aside. A prediction is confirmed by the
-share of a template's word bigrams that the paragraph holds; unconfirmed ones are reported as such.
+share of a template's word bigrams that the paragraph holds. Of windows that overlap, the one with the largest share stays, the
+shorter one of equals; of unconfirmed predictions single units are reported only, as such.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from .rows import column, extend
 from .scratch import table
 
 SLOTS, CONFIRMED = 1 << 16, 0.6
+#: Words of a unit of a long line, and units and words of a window.
+UNIT, MOST_UNITS, MOST_WORDS = 40, 6, 160
 #: Customary notices of each family.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -77,6 +82,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial.",
     ],
     "Proprietary": [
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.",
     ],
@@ -106,11 +112,14 @@ COLUMNS = T.StructType(
 )
 
 
-def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of the lines of all rows, each row's lines beginning at ``rows``; an empty row has none."""
+def units_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the units of all rows, the place of each row's first unit, and of each unit whether a line begins there."""
     breaks = np.flatnonzero(data == 10) + 1
-    bounds = np.unique(np.concatenate((off, breaks[breaks < len(data)] if len(data) else breaks)))
-    return bounds, np.searchsorted(bounds, off)
+    lines = np.unique(np.concatenate((off, breaks[breaks < len(data)] if len(data) else breaks)))
+    w = Words(data, lines, WORDY)
+    inside = np.arange(len(w)) - np.repeat(w.rows[:-1], np.diff(w.rows))
+    bounds = np.union1d(lines, w.start[(inside > 0) & (inside % UNIT == 0)])
+    return bounds, np.searchsorted(bounds, off), np.isin(bounds[:-1], lines)
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +143,16 @@ class Model:
         self.temperature, self.floor = 1.0, 0.5
         self.templates = {f: [template_shingles(t) for t in ts] for f, ts in TEMPLATES.items()}
 
-    def logits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        w = Words(data, bounds, WORDY)
-        return self._sum(w, *features(w))
-
-    def _sum(self, w: Words, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def sums(self, w: Words, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Summed weights of the words of each row."""
         out = np.zeros((len(w.rows) - 1, len(FAMILIES)))
-        sizes = np.diff(w.rows)
-        some = np.flatnonzero(sizes)
+        some = np.flatnonzero(np.diff(w.rows))
         if len(some):
-            each = self.weights[one] + self.weights[two]
-            out[some] = np.add.reduceat(each, w.rows[some], 0) / np.sqrt(sizes[some])[:, None]
-        return out + self.bias
+            out[some] = np.add.reduceat(self.weights[one] + self.weights[two], w.rows[some], 0)
+        return out
+
+    def _sum(self, w: Words, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self.sums(w, one, two) / np.sqrt(np.maximum(1, np.diff(w.rows)))[:, None] + self.bias
 
     def fit(self, plain: list[str], variants: int = 15, rounds: int = 80, seed: int = 7) -> Model:
         """plain: ordinary paragraphs; those that hold a template are left out."""
@@ -201,21 +208,40 @@ class Model:
         return self
 
     def scan(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-        """Paragraphs of each row, and the licences found in it."""
-        bounds, rows = lines_of(data, off)
-        p = softmax(self.logits(data, bounds) / self.temperature)
-        best = p[:, 1:].argmax(1) + 1
-        hits = np.flatnonzero(p[np.arange(len(p)), best] >= self.floor)
+        """Lines of each row, and the licences found in it."""
+        bounds, rows, begins = units_of(data, off)
         found: list[list[dict]] = [[] for _ in range(len(off) - 1)]
-        if len(hits):
-            chars = code_points(data)
-            for k in hits.tolist():
-                r = int(np.searchsorted(rows, k, "right")) - 1
-                family = FAMILIES[best[k]]
-                own = template_shingles(data[bounds[k] : bounds[k + 1]].tobytes().decode("utf-8", "replace"))
+        w = Words(data, bounds, WORDY)
+        sizes, sums = np.diff(w.rows), self.sums(w, *features(w))
+        lines = np.concatenate(([0], np.cumsum(begins)))
+        # A window doesn't leave its row, nor go over a unit without words.
+        row = np.searchsorted(rows, np.arange(len(sizes)), "right") - 1
+        named = []
+        total, words, ok = np.zeros_like(sums), np.zeros_like(sizes), np.ones(len(sizes), bool)
+        for k in range(MOST_UNITS):
+            at = np.arange(len(sizes) - k)
+            if not len(at):
+                break
+            total, words = total[: len(at)] + sums[at + k], words[: len(at)] + sizes[at + k]
+            ok = ok[: len(at)] & (sizes[at + k] > 0) & (row[at] == row[at + k]) & ((words <= MOST_WORDS) | (k == 0))
+            p = softmax((total / np.sqrt(np.maximum(1, words))[:, None] + self.bias) / self.temperature)
+            best = p[:, 1:].argmax(1) + 1
+            for i in np.flatnonzero(ok & (p[at, best] >= self.floor)).tolist():
+                family = FAMILIES[best[i]]
+                own = template_shingles(data[bounds[i] : bounds[i + k + 1]].tobytes().decode("utf-8", "replace"))
                 part = max(share(t, own) for t in self.templates[family])
-                found[r].append({"paragraph": k - int(rows[r]), "start": int(chars[bounds[k]] - chars[off[r]]), "family": family, "p": float(p[k, best[k]]), "template": part, "confirmed": part >= CONFIRMED})
-        return np.diff(rows), found
+                if part >= CONFIRMED or k == 0:
+                    named.append((part < CONFIRMED, -part, k, i, family, float(p[i, best[i]])))
+        taken = np.zeros(len(sizes), bool)
+        chars = code_points(data) if named else None
+        for unsure, part, k, i, family, p_ in sorted(named):
+            if not taken[i : i + k + 1].any():
+                taken[i : i + k + 1] = True
+                r = int(row[i])
+                found[r].append({"paragraph": int(lines[i + 1] - lines[rows[r] + 1]), "start": int(chars[bounds[i]] - chars[off[r]]), "family": family, "p": p_, "template": -part, "confirmed": not unsure})
+        for x in found:
+            x.sort(key=lambda y: y["start"])
+        return lines[rows[1:]] - lines[rows[:-1]], found
 
 
 def template_shingles(text: str) -> set[int]:
@@ -244,7 +270,8 @@ def fit(docs: DataFrame, fit_docs: int = 200, fit_lines: int = 2000) -> Model:
 def scan(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_paragraphs and licenses (paragraph number, start in code points, family, probability, share of the template, confirmed).
 
-    Null and empty texts have no paragraphs. Columns of docs named like a new one are replaced.
+    Null and empty texts have no paragraphs; texts and lines of any length are read whole. Repeated rows each give a row.
+    Columns of docs named like a new one are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
