@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import WORDY, Words, code_points, groups, mix, view
+from .kernel import WORDY, Words, code_points, groups, mix, trim, view
 from .rows import column, extend
 from .scratch import table
 
@@ -172,10 +172,16 @@ class Model:
         tokens = Tokens.of(texts)
         tags = tag(tokens, y)
         moved = np.full(4, 1e-6)
-        slots = np.unique(np.concatenate([s for s in tokens.slots]))
+        used = np.zeros(SLOTS, bool)
+        for s in tokens.slots:
+            used[s] = True
+        slots = np.flatnonzero(used)
         place = np.zeros(SLOTS, np.int32)
         place[slots] = np.arange(len(slots))
-        local = [place[s] for s in tokens.slots]
+        # In the place of the slots, so that the driver holds them once.
+        local = tokens.slots
+        for k, s in enumerate(local):
+            local[k] = place[s]
         weights, seen = np.zeros(len(slots)), np.full(len(slots), 1e-6)
         head = np.zeros(len(tokens), bool)
         head[tokens.first] = True
@@ -197,7 +203,10 @@ class Model:
             moved += h * h
             self.moves = self.moves + rate * h / np.sqrt(moved)
         self.weights[slots] = weights
-        x = self.evidence(tokens)
+        e, weights = np.zeros(len(tokens)), weights.astype(np.float32)
+        for s in local:
+            e += weights[s]
+        x = self.evidence(tokens, marginals(e, tokens.first, tokens.size, self.moves)[0])
         # A prior holds the threshold at a largest marginal of one half, since the sample's own marginals are too clear-cut.
         prior, held = np.array([-4.0, 8.0, 0.0]), np.diag([4.0, 4.0, 4.0])
         b = prior
@@ -257,7 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 1200, fit_bytes: int
     ids = spark.createDataFrame(chosen, "doc_id long, toxic int")  # at most 2 * fit_docs rows
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= fit_bytes).join(F.broadcast(ids), "doc_id").collect()
     rows = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}
-    return Model().fit(list(rows), list(rows.values()))
+    model = Model().fit(list(rows), list(rows.values()))
+    del rows
+    trim()
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
