@@ -68,13 +68,15 @@ class Tokens:
     def of(cls, texts: list[str]) -> Tokens:
         """Tokens of many texts without the texts themselves, made group by group."""
         data, off = view(pa.array(texts, pa.large_string()))
-        parts = [cls(data[off[a] : off[z]], off[a : z + 1] - off[a]) for a, z in groups(off, 1 << 19)]
+        parts = [cls(data[off[a] : off[z]], off[a : z + 1] - off[a]) for a, z in groups(off, 1 << 17)]
         for x in parts:
             x.words = None
         out = cls.__new__(cls)
         base = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         out.words = None
-        out.slots = [np.concatenate([x.slots[i] for x in parts]) for i in range(N_WORD + N_CONTEXT)]
+        out.slots = []
+        for _ in range(N_WORD + N_CONTEXT):
+            out.slots.append(np.concatenate([x.slots.pop(0) for x in parts]))
         out.first = np.concatenate([x.first + b for x, b in zip(parts, base, strict=False)])
         out.size = np.concatenate([x.size for x in parts])
         out.rows = np.concatenate([[0], *(x.rows[1:] + b for x, b in zip(parts, base, strict=False))])
@@ -125,6 +127,19 @@ def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, moves:
     return p, z, counts
 
 
+def all_marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray, most: int = 1 << 18):
+    """Probabilities and counts of moves of marginals(), some chains (in order of their places) at a time, which bounds the arrays in use."""
+    p, counts = np.zeros(len(emission)), np.zeros(4)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + most)))
+        a, z = int(first[at]), int(first[to - 1] + size[to - 1])
+        p[a:z], _, have = marginals(emission[a:z], first[at:to] - a, size[at:to], moves, pairs=True)
+        counts += have
+        at = to
+    return p, counts
+
+
 def emissions(tokens: Tokens, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(tokens))
     for s in tokens.slots:
@@ -191,7 +206,7 @@ class Model:
             e = np.zeros(len(tokens))
             for s in local:
                 e += weights[s]
-            p, _, have = marginals(e, tokens.first, tokens.size, self.moves, pairs=True)
+            p, have = all_marginals(e, tokens.first, tokens.size, self.moves)
             rest = tags - p
             g = np.zeros(len(slots))
             for s in local:
@@ -206,7 +221,7 @@ class Model:
         e, weights = np.zeros(len(tokens)), weights.astype(np.float32)
         for s in local:
             e += weights[s]
-        x = self.evidence(tokens, marginals(e, tokens.first, tokens.size, self.moves)[0])
+        x = self.evidence(tokens, all_marginals(e, tokens.first, tokens.size, self.moves)[0])
         # A prior holds the threshold at a largest marginal of one half, since the sample's own marginals are too clear-cut.
         prior, held = np.array([-4.0, 8.0, 0.0]), np.diag([4.0, 4.0, 4.0])
         b = prior
