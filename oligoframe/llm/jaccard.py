@@ -2,9 +2,9 @@
 
 Documents become sets of word shingles; equal sets are one set. Links are found in two steps.
 
-*Similar sets first.* MinHash bands name sets that are probably alike; each is compared with three sets of its band, which is
+*Similar sets first.* MinHash bands name sets that are probably alike; each is compared with four sets of its band, which is
 linear in the sets however large a band is: with the most typical one, which has the fewest rare shingles and so lies in the
-middle of a group of edited copies, with an arbitrary one, and with its neighbour in the order of the other bands. Sets joined so need no further comparison with one another, and
+middle of a group of edited copies, with two arbitrary ones, and with its neighbour in the order of the other bands. Sets joined so need no further comparison with one another, and
 each keeps what it differs in from its leader.
 
 *Then all others, exactly.* The inverted index holds the prefix of each set under one global order: shingles that few sets
@@ -454,13 +454,13 @@ def links(docs: DataFrame, described: DataFrame, first: DataFrame) -> DataFrame:
     counts = tokens.agg(F.count(F.lit(1)), *(F.count_if(F.col("sets") > HOT * STEP**k) for k in range(LEVELS))).first()
     sizes_of = [bits_for(c) for c in counts]
     hot = spark.sparkContext.broadcast([bitmap(tokens.filter(F.col("sets") > HOT * STEP**k), sizes_of[k + 1]) for k in range(LEVELS)])
-    # 1. Each set with the most typical and the largest of its bands.
+    # 1. Each set with the most typical, the smallest and the largest of its bands.
     bands = banded(described.filter("n > 0"), hot)
     shared = bands.groupBy("band").agg(F.min_by("sid", "order").alias("typical"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
     # Neighbours in the order of the other bands are alike in several bands, which follows chains of edits. A band may go on
     # in the next task, so that a large one is no task of its own; at such a place a neighbour is missed, which step 2 makes up for.
     members = bands.join(shared, "band").repartitionByRange("band", "then", "then2", "then3", "sid").sortWithinPartitions("band", "then", "then2", "then3", "sid")
-    near = cut(members.select("band", "sid", "typical", "high").mapInArrow(_near, "a long, b long").distinct())
+    near = cut(members.select("band", "sid", "typical", "low", "high").mapInArrow(_near, "a long, b long").distinct())
     found = cut(overlaps(near, fetch(docs, pair_ids(near), first)).filter(linked()))
     group = cut(components(found.select("a", "b")).withColumnRenamed("node", "sid"))
     # The leader of a set is the most alike of those it is compared with.
@@ -532,10 +532,10 @@ def asked(between: DataFrame, lead: DataFrame, described: DataFrame, roots: Data
 
 
 def _near(batches):
-    """(a, b) of each row (band, sid, typical, high): its set with those two and with the set of the row before in its band."""
+    """(a, b) of each row (band, sid, typical, low, high): its set with those three and with the set of the row before in its band."""
     last = None
     for b in batches:
-        band, sid, *others = (b.column(i).to_numpy() for i in range(4))
+        band, sid, *others = (b.column(i).to_numpy() for i in range(5))
         if not len(sid):
             continue
         before, of = np.concatenate((sid[:1], sid[:-1])), np.concatenate((band[:1], band[:-1]))
