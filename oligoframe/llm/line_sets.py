@@ -1,0 +1,126 @@
+"""Shingle sets of lines over Arrow batches: signatures, whole sets and the Jaccard similarity of pairs.
+
+A shingle's hash comes from its code points, which are worked off ``BLOCK`` at a time, so that a very long line costs its code
+points and the hashes that are kept.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+from .kernel import BASE, groups, mix, view
+
+#: Code points that are hashed at a time, and bytes of lines (or one line) that are looked at together.
+BLOCK, TOGETHER = 1 << 20, 1 << 21
+#: Bits of a hash in signatures and sets, and in the sets that a pair is verified by.
+BITS, LONG = 31, 44
+
+
+def points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all rows, and row offsets among them. Bytes that aren't UTF-8 become replacement characters, row by row."""
+    raw = data.tobytes()
+    try:
+        out = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        return out, heads[off]
+    except UnicodeDecodeError:
+        rows = [raw[a:z].decode(errors="replace") for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        return np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
+
+
+def keys(chars: np.ndarray, at: np.ndarray, k: int, bits: int, below: np.ndarray | None = None) -> np.ndarray:
+    """Row and hash (the lower ``bits``) of the different k-character shingles inside each row, sorted. below: a bound of each row's hashes."""
+    out = []
+    for a in range(0, max(0, len(chars) - k + 1), BLOCK):
+        z = min(a + BLOCK, len(chars) - k + 1)
+        x = chars[a:z].astype(np.uint64)
+        for i in range(1, k):
+            x *= np.uint64(BASE)
+            x += chars[a + i : z + i]
+        x = mix(x) >> np.uint64(64 - bits)
+        first, last = np.searchsorted(at, [a, z - 1], "right") - 1
+        ends = np.clip(at[first : last + 2], a, z)
+        row = np.repeat(np.arange(first, last + 1), np.diff(ends))
+        good = np.arange(a, z) + k <= at[row + 1]
+        if below is not None:
+            good &= x < below[row]
+        out.append(row[good].astype(np.uint64) << np.uint64(bits) | x[good])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def lists(key: np.ndarray, rows: int, most: int | None = None) -> tuple[np.ndarray, pa.Array]:
+    """How many hashes each row has, and the first ``most`` of them as lists."""
+    many = np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=rows)
+    sizes = many if most is None else np.minimum(many, most)
+    first = np.concatenate(([0], np.cumsum(many)))[:-1]
+    chosen = key if most is None else key[np.arange(len(key)) - np.repeat(first, many) < most]
+    values = (chosen & np.uint64((1 << BITS) - 1)).astype(np.int32)
+    return many, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int32()))
+
+
+def signatures(data: np.ndarray, off: np.ndarray, k: int, size: int, look: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each row: shingles with repeats, different hashes looked at, the ``size`` smallest of them.
+
+    Of a long row about ``look`` hashes are looked at, those below a bound; where repetition leaves too few, all are.
+    """
+    chars, at = points(data, off)
+    n = np.maximum(np.diff(at) - k + 1, 0)
+    below = np.where(n <= look, 1 << BITS, look * (1 << BITS) // np.maximum(n, 1)).astype(np.uint64)
+    key = keys(chars, at, k, BITS, below)
+    row = (key >> np.uint64(BITS)).astype(np.int64)
+    short = (n > look) & (np.bincount(row, minlength=len(n)) < size)
+    if short.any():
+        whole = keys(chars, at, k, BITS, np.where(short, 1 << BITS, 0).astype(np.uint64))
+        key = np.sort(np.concatenate((key[~short[row]], whole)))
+    many, smallest = lists(key, len(n), size)
+    return n, many, smallest
+
+
+def describe(k: int, size: int, look: int):
+    """For mapInArrow: (id, line) to (id, chars, many, signature, line)."""
+
+    def run(batches):
+        for b in batches:
+            data, off = view(b.column(1))
+            for a, z in groups(off, TOGETHER):
+                chars, many, smallest = signatures(data[off[a] : off[z]], off[a : z + 1] - off[a], k, size, look)
+                cells = [b.column(0)[a:z], pa.array(chars, pa.int32()), pa.array(many, pa.int32()), smallest, b.column(1)[a:z]]
+                yield pa.RecordBatch.from_arrays(cells, names=["id", "chars", "many", "signature", "line"])
+
+    return run
+
+
+def whole_sets(k: int):
+    """For mapInArrow: (id, line) to (id, hashes), all different ones."""
+
+    def run(batches):
+        for b in batches:
+            data, off = view(b.column(1))
+            for a, z in groups(off, TOGETHER):
+                chars, at = points(data[off[a] : off[z]], off[a : z + 1] - off[a])
+                yield pa.RecordBatch.from_arrays([b.column(0)[a:z], lists(keys(chars, at, k, BITS), z - a)[1]], names=["id", "hashes"])
+
+    return run
+
+
+def similar(k: int, least: float):
+    """For mapInArrow: (a, b, line_a, line_b) to those (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
+
+    def sets(col, a, z):
+        data, off = view(col[a:z])
+        return keys(*points(data, off), k, LONG)
+
+    def run(batches):
+        for b in batches:
+            ends = view(b.column(2))[1] + view(b.column(3))[1]
+            for a, z in groups(ends, TOGETHER):
+                x, y = (sets(b.column(i), a, z) for i in (2, 3))
+                both = np.sort(np.concatenate((x, y)))
+                rows = lambda key: np.bincount((key >> np.uint64(LONG)).astype(np.int64), minlength=z - a)  # noqa: B023, E731
+                common = rows(both[1:][both[1:] == both[:-1]])
+                union = rows(both) - common
+                good = pa.array((common >= least * union) & (union > 0))
+                yield pa.RecordBatch.from_arrays([b.column(i)[a:z].filter(good) for i in (0, 1)], names=["a", "b"])
+
+    return run

@@ -1,0 +1,52 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from oligoframe.llm import line_sets as S
+from oligoframe.llm.kernel import view
+
+
+def grams(s):
+    return {s[i : i + 5] for i in range(len(s) - 4)}
+
+
+def lines_of(r):
+    letters = "abcdefgh äß你好🙂"
+    out = ["".join(r.choice(letters) for _ in range(r.choice((0, 3, 4, 5, 6, 30, 90, 400)))) for _ in range(200)]
+    return [*out, "ab" * 300, "", "abcde", "x" * 1000, "你好世界你"]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_sets_and_signatures(monkeypatch, block):
+    """Sizes of sets against sets of substrings; equal shingles have equal hashes whatever lies beside them."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    lines = lines_of(random.Random(1))
+    chars, many, smallest = S.signatures(*view(pa.array(lines)), 5, 32, 64)
+    sets = S.lists(S.keys(*S.points(*view(pa.array(lines))), 5, S.BITS), len(lines))[1].to_pylist()
+    for line, n, looked, low, whole in zip(lines, chars, many, smallest.to_pylist(), sets, strict=True):
+        assert n == max(0, len(line) - 4) and len(whole) == len(grams(line)) and whole == sorted(whole)
+        assert low == whole[: len(low)] and len(low) == min(32, len(whole), looked)
+        assert looked == len(whole) if len(line) <= 68 or len(whole) < 32 else looked >= 32
+    alone = S.signatures(*view(pa.array(lines[5:6])), 5, 32, 64)[2].to_pylist()
+    assert alone == smallest.to_pylist()[5:6]
+
+
+def test_pairs_against_sets():
+    r = random.Random(2)
+    x = lines_of(r)
+    y = [s if r.random() < 0.2 else s[: r.randrange(len(s) + 1)] + s[r.randrange(len(s) + 1) :] for s in x]
+    n = len(x)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n, 2 * n)), pa.array(x), pa.array(y)], names=["a", "b", "line_a", "line_b"])
+    got = {i for b in S.similar(5, 0.8)([batch]) for i in b.column(0).to_pylist()}
+    want = {i for i in range(n) if grams(x[i]) | grams(y[i]) and len(grams(x[i]) & grams(y[i])) >= 0.8 * len(grams(x[i]) | grams(y[i]))}
+    assert got == want and 20 < len(want) < n
+
+
+def test_bytes_that_are_not_text():
+    raw = [b"abc\xffdef", "größer als".encode(), b""]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    chars, at = S.points(data, off)
+    assert np.diff(at).tolist() == [7, 10, 0] and len(chars) == 17
+    assert [len(x) for x in S.lists(S.keys(chars, at, 5, S.BITS), 3)[1].to_pylist()] == [3, 6, 0]
