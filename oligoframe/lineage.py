@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,22 +31,6 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-#: Seconds between two collections on the driver.
-COLLECT = 4.0
-_collected = [0.0]
-
-
-def collect_garbage(spark: SparkSession) -> None:
-    """Let the driver drop plans that nothing reads again; Spark removes their shuffles and broadcasts once they are collected.
-
-    Iterations leave many small plans behind; a driver with room to spare would keep them, and their files, for long.
-    """
-    if time.monotonic() - _collected[0] >= COLLECT:
-        gc.collect()
-        spark._jvm.System.gc()
-        _collected[0] = time.monotonic()
-
-
 def release(*frames: DataFrame) -> None:
     """Delete what cut() wrote for these, once nothing reads them again."""
     for df in frames:
@@ -57,5 +39,3 @@ def release(*frames: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
-    if frames:
-        collect_garbage(frames[0].sparkSession)
