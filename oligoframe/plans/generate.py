@@ -49,20 +49,22 @@ def check_arguments(count: int, length: int, f: Filter, seeds: int = 0, seed_len
     return said
 
 
-def generate(spark: SparkSession, count: int, length: int, f: Filter, seed: str = "0", seeds: DataFrame | None = None, paired: bool = False, chunk: int | None = None, empty_rounds: int = 3) -> Library:
+def generate(spark: SparkSession, count: int, length: int, f: Filter, seed: str = "0", seeds: DataFrame | None = None, paired: bool = False, chunk: int | None = None, empty_rounds: int = 3, stream: int | None = None) -> Library:
     """count sequences (twice as many if paired) besides the seeds (seq, and id for their order; they are not checked).
 
-    Stops short after empty_rounds chunks without any acceptance. chunk: rows of the stream worked off at once.
+    Stops short after empty_rounds chunks without any acceptance. chunk: rows of the stream worked off at once. stream: rows
+    that the stream has, endless if None; it stops short at its end too.
     """
     target = count * (2 if paired else 1)
     old = cut(seeds.select("id", "seq")) if seeds is not None else None
     n_old = old.count() if old is not None else 0
     pool, accepted, start, idle = [], 0, 0, 0
     rounds: list[tuple[int, int]] = []
-    while accepted < target and idle < empty_rounds:
+    while accepted < target and idle < empty_rounds and (stream is None or start < stream):
         # The stream passes at about 0.4 and thins out as the space fills; what the last chunk gave tells how much to read.
         rate = max(0.01, rounds[-1][1] / rounds[-1][0]) if rounds else 0.3
         step = chunk or min(4_000_000, max(2_000, int((target - accepted) / rate * 1.15)))
+        step = step if stream is None else min(step, stream - start)
         new = candidates(spark, start, start + step, length, f, seed)
         for side in ([old] if old is not None else []) + pool:
             new = anti_join(new, side.select("id", "seq"), f.min_distance)
