@@ -6,14 +6,19 @@ rows without an earlier undecided neighbour are taken and their later neighbours
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounds import ball
 from ..lineage import cut, release
-from .similarity import self_join
+from .similarity import anti_join, lengths, self_join
 
 #: Conflicts that the driver finishes by itself.
 RESIDUE = 100_000
+#: Strings settled at first where they crowd: with more conflicts each than CROWDED, were they spread evenly.
+CHUNK, CROWDED = 30_000, 4
 
 
 def rejected(conflicts: DataFrame, residue: int = RESIDUE) -> DataFrame:
@@ -42,9 +47,31 @@ def rejected(conflicts: DataFrame, residue: int = RESIDUE) -> DataFrame:
     return out
 
 
-def greedy_select(df: DataFrame, d: int, needed: int | None = None, strategy: str = "auto") -> DataFrame:
-    """Rows of df (id, seq, any others) that a greedy scan by id takes; the first ``needed`` of them if given."""
-    kept = df.join(rejected(self_join(df, d, strategy)), "id", "left_anti").select(*df.columns)
+def greedy_select(df: DataFrame, d: int, needed: int | None = None, strategy: str = "auto", chunk: int = CHUNK) -> DataFrame:
+    """Rows of df (id, seq, any others) that a greedy scan by id takes; the first ``needed`` of them if given.
+
+    Of repeated strings only the first can be taken. Where strings crowd their space, the first ``chunk`` of them are settled, what
+    lies near a taken one goes, and twice as many follow: the conflicts of those that go are never written. The first
+    ``needed`` need no more chunks than it takes to find them.
+    """
+    first = dedup_candidates(df)
+    low, high, n = lengths(first)
+    if n <= chunk or low != high or needed is None and n * ball(high, d - 1) <= CROWDED * 4**high:
+        kept = first.join(rejected(self_join(first, d, strategy, (low, high, n))), "id", "left_anti").select("id")
+    else:
+        left, parts, found = cut(first), [], 0
+        while n:
+            head = cut(left.orderBy("id").limit(chunk))
+            parts.append(cut(head.join(rejected(self_join(head, d, strategy)), "id", "left_anti").select("id", "seq")))
+            found += parts[-1].count()
+            if n <= chunk or needed is not None and found >= needed:
+                break
+            last = head.agg(F.max("id")).first()[0]
+            before, left = left, cut(anti_join(left.filter(F.col("id") > last), parts[-1], d))
+            release(before, head)
+            n, chunk = left.count(), 2 * chunk
+        kept = reduce(DataFrame.unionAll, parts).select("id")
+    kept = df.join(kept, "id", "left_semi").select(*df.columns)
     return kept.orderBy("id").limit(needed) if needed is not None else kept
 
 
