@@ -54,12 +54,12 @@ def greedy_select(df: DataFrame, d: int, needed: int | None = None, strategy: st
     lies near a taken one goes, and twice as many follow: the conflicts of those that go are never written. The first
     ``needed`` need no more chunks than it takes to find them.
     """
-    first = dedup_candidates(df)
+    first = cut(dedup_candidates(df))
     low, high, n = lengths(first)
     if n <= chunk or low != high or needed is None and n * ball(high, d - 1) <= CROWDED * 4**high:
         kept = first.join(rejected(self_join(first, d, strategy, (low, high, n))), "id", "left_anti").select("id")
     else:
-        left, parts, found = cut(first), [], 0
+        left, parts, found = first, [], 0
         while n:
             head = cut(left.orderBy("id").limit(chunk))
             parts.append(cut(head.join(rejected(self_join(head, d, strategy)), "id", "left_anti").select("id", "seq")))
@@ -70,8 +70,8 @@ def greedy_select(df: DataFrame, d: int, needed: int | None = None, strategy: st
             before, left = left, cut(anti_join(left.filter(F.col("id") > last), parts[-1], d))
             release(before, head)
             n, chunk = left.count(), 2 * chunk
-        kept = reduce(DataFrame.unionAll, parts).select("id")
-    kept = df.join(kept, "id", "left_semi").select(*df.columns)
+        kept = reduce(DataFrame.unionAll, parts)
+    kept = (first if set(df.columns) == {"id", "seq"} else df).join(kept.select("id"), "id", "left_semi").select(*df.columns)
     return kept.orderBy("id").limit(needed) if needed is not None else kept
 
 
