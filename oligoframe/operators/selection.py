@@ -68,7 +68,7 @@ def greedy_select(df: DataFrame, d: int, needed: int | None = None, strategy: st
                 break
             last = head.agg(F.max("id")).first()[0]
             before, left = left, cut(anti_join(left.filter(F.col("id") > last), parts[-1], d))
-            release(before, head)
+            release(head, *([before] if before is not first else []))
             n, chunk = left.count(), 2 * chunk
         kept = reduce(DataFrame.unionAll, parts)
     kept = (first if set(df.columns) == {"id", "seq"} else df).join(kept.select("id"), "id", "left_semi").select(*df.columns)
